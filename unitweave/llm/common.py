@@ -149,3 +149,33 @@ class Texts:
 
 def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+# ---- files of our own formats in the shared folder ------------------------------------------------------------------
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:/", "file:///", 1))
+
+
+def open_output(uri: str):
+    """A stream for a new file at a URI of the shared store, with its folder made."""
+    store, path = _store(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(path)
+
+
+def open_input(uri: str):
+    """A file of the shared store for range reads."""
+    store, path = _store(uri)
+    return store.open_input_file(path)
+
+
+def task_tag() -> str:
+    """A name part that no other task attempt uses, so that a lost or repeated attempt never overwrites a good file."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId()}" if task else uuid.uuid4().hex

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import chat_format, exact_dedup, mixing
+from unitweave.llm import chat_format, exact_dedup, mixing, token_binary, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +70,39 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN (2 * start +
 """
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.write_and_read(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_index.archive_and_read(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+b AS (SELECT html, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN best > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best > page_id THEN best END AS refers_to
+FROM p LEFT JOIN b ON p.html = b.html
+"""
+
+
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_source_mixing": op6_source_mixing,
+        "op8_token_binary": op8_token_binary,
+        "op10_warc_index": op10_warc_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op6_source_mixing": OP6_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op6_source_mixing": OP6_SQL, "op10_warc_index": OP10_SQL}
