@@ -164,7 +164,7 @@ def open_output(uri: str):
     """A stream for a new file at a URI of the shared store, with its folder made."""
     store, path = _store(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):

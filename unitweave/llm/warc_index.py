@@ -149,7 +149,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
 def _padded(column: str):
     """A page_id as 20 digits that sort like the number; null sorts first."""
-    return F.coalesce(F.lpad((F.col(column).cast("decimal(20,0)") + F.lit(1 << 63)).cast("string"), 20, "0"), F.lit("-"))
+    return F.coalesce(F.lpad((F.col(column).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0"), F.lit("-"))
 
 
 def _line(key: str, page_id: int | None) -> str:
