@@ -61,6 +61,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[128:] = _LETTER[65:91] = _LETTER[97:123] = True
 _BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _powers: dict[int, np.ndarray] = {}
 
@@ -108,14 +110,18 @@ def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 2
 class Texts:
     """The texts of an Arrow batch as bytes, with the words of each: byte spans, and rows' first words."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
+        """lower: A-Z become a-z. letters: words are runs of letters (ASCII letters, and all bytes beyond ASCII), in lower case."""
         column = column.cast(pa.string()).fill_null("") if column.null_count or column.type != pa.string() else column
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         body = column.buffers()[2] if n else None
         data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        self.n, self.offsets, self.data = n, offsets - offsets[0], _LOWER[data] if lower else data
-        inside = ~_SPACE[data]
+        self.n, self.offsets, self.data = n, offsets - offsets[0], _LOWER[data] if lower or letters else data
+        inside = _LETTER[data] if letters else ~_SPACE[data]
+        if letters and len(data):  # the Latin-1 capitals, whose second byte is 0x80 to 0x9E after 0xC3
+            capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+            self.data[capital] += 32
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         heads = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
@@ -133,6 +139,17 @@ class Texts:
     def word_hashes(self) -> np.ndarray:
         return _span_hash(self.data.astype(np.uint64), self.starts, self.ends, _BYTE_BASE)
 
+    def prefix_hashes(self, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, the words with more code points than that, and hashes of their first so many."""
+        heads = np.flatnonzero((self.data & 0xC0) != 0x80)
+        first, last = np.searchsorted(heads, self.starts), np.searchsorted(heads, self.ends)
+        heads = np.append(heads, len(self.data))
+        wide, out = self.data.astype(np.uint64), []
+        for n in lengths:
+            at = np.flatnonzero(last - first > n)
+            out.append((at, mix(_span_hash(wide, self.starts[at], heads[first[at] + n], _BYTE_BASE) + np.uint64(n))))
+        return out
+
     def windows(self, hashes: np.ndarray, length: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all windows of so many words inside one row, and their hashes."""
         room = np.repeat(self.first[1:], self.counts) - np.arange(len(hashes))

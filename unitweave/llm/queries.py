@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import chat_format, exact_dedup, mixing, token_binary, warc_index
+from unitweave.llm import chat_format, exact_dedup, mixing, quality_rules, token_binary, toxicity, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -96,7 +104,9 @@ FROM p LEFT JOIN b ON p.html = b.html
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_source_mixing": op6_source_mixing,
         "op8_token_binary": op8_token_binary,
