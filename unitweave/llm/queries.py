@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import chat_format, exact_dedup, mixing, quality_rules, token_binary, toxicity, warc_index
+from unitweave.llm import chat_format, exact_dedup, mixing, quality_rules, substring_dedup, token_binary, toxicity, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN (2 * start +
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -109,6 +113,7 @@ def queries() -> dict:
         "op4_quality_rules": op4_quality_rules,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_source_mixing": op6_source_mixing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_token_binary": op8_token_binary,
         "op10_warc_index": op10_warc_index,
     }
