@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import chat_format, exact_dedup, mixing, quality_rules, substring_dedup, token_binary, toxicity, warc_index
+from unitweave.llm import chat_format, exact_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_binary, toxicity, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.write_and_read(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_index.archive_and_read(_table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -115,6 +119,7 @@ def queries() -> dict:
         "op6_source_mixing": op6_source_mixing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_token_binary": op8_token_binary,
+        "op9_near_dedup": op9_near_dedup,
         "op10_warc_index": op10_warc_index,
     }
 
