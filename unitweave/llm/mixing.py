@@ -51,13 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source).
-
-    size is the number of words (null text: 0); a document with size 0 takes 0, and a source of such documents has
-    target 0. A null source is a source of its own. Rows that repeat a doc_id count as documents of their own. The same
-    rows give the same mix in any partitioning. An empty table gives no rows. Other columns are ignored.
-    """
+def _repetitions(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
     order = seeded_order(F.col("doc_id"), seed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order.alias("place"))
     rows = cut(rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS)), "mix-rows")
@@ -74,13 +68,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     rest = F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")
     start = F.col("before") + F.col("within")
     part = ((start + start + F.col("size")).cast("double") < F.lit(2.0) * rest).cast("long")
-    return placed.withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + part)).alias("taken"))
+    return placed.withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + part).alias("times"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source).
+
+    size is the number of words (null text: 0); a document with size 0 takes 0, and a source of such documents has
+    target 0. A null source is a source of its own. Rows that repeat a doc_id count as documents of their own. The same
+    rows give the same mix in any partitioning. An empty table gives no rows. Other columns are ignored.
+    """
+    return _repetitions(docs, weights, max_epochs, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, wordless rows once, with the columns of docs."""
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.col("taken") / F.col("size")).cast("int"))
-    taken = mix(docs, weights, max_epochs, seed).select(F.col("doc_id").alias("taken_id"), times.alias("times"))
-    taken = taken.groupBy("taken_id").agg(F.max("times").alias("times"))
-    joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id")))
-    return joined.where("times > 0").withColumn("repetition_of_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows that repeat a doc_id are all
+    taken as often as the most taken of them."""
+    times = _repetitions(docs, weights, max_epochs, seed).where("times > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("times").cast("int").alias("times_taken"))
+    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id")))
+    return joined.withColumn("repetition_of_row", F.explode(F.sequence(F.lit(1), F.col("times_taken")))).select(*[docs[c] for c in docs.columns])

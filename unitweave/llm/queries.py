@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import chat_format, exact_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_binary, toxicity, warc_index
+from unitweave.llm import chat_format, exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_binary, toxicity, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -114,6 +118,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_rules": op4_quality_rules,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_source_mixing": op6_source_mixing,

@@ -224,6 +224,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, score double, n_passages long, passage_words long")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns and in one pass."""
+    model = fit(docs, labels)
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                texts = Texts(batch.column(at), letters=True)
+                nats = np.zeros(texts.n)
+                for row, segments in passages(model, texts):
+                    nats[row] = evidence(model, int(texts.counts[row]), segments)
+                keep = model.curve[0] * np.log1p(nats) + model.curve[1] < 0
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages, passage_words for each row of docs (doc_id, text); labels has doc_id, toxic.
 
