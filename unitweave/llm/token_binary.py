@@ -24,7 +24,7 @@ from unitweave.llm.common import cut, fresh_path, open_input, open_output, slice
 END_ID = 2
 FILE_IDS = 1 << 21
 #: Entries of a worker's memory of encoded stretches; it starts anew when full.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 MAGIC = b"UWTOK1\0\0"
 NULL_ID = -(1 << 63)
 
@@ -70,7 +70,8 @@ class StretchEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = dict(enumerate(_byte_letters()))
-        self.matches = _Known(self._match)
+        self.spelt = _Known(self._spelt)
+        self.matches = _Known(lambda x: self._spelt(x.encode().decode("latin-1").translate(self.letters)))
         self.stretches = _Known(self._stretch)
         self.after_space = _Known(lambda x: self._stretch(" " + x))
 
@@ -78,21 +79,20 @@ class StretchEncoder:
         """The ids of each text by the library alone, as little-endian bytes of self.dtype."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _match(self, text: str) -> bytes:
-        """One pre-tokenizer match, merged by the library's model."""
-        spelt = text.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+    def _spelt(self, match: str) -> bytes:
+        """One pre-tokenizer match, spelt in the letters of its bytes, merged by the library's model."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(match)]).tobytes()
 
     def _stretch(self, text: str) -> bytes:
         plain = _PLAIN.fullmatch(text)
         if plain is None:
-            return self.whole([text])[0]
+            return b"".join([self.spelt[match] for match, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
         return self.matches[plain[1]] + self.matches[plain[2]] if plain[2] else self.matches[plain[1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The same ids as whole()."""
         if len(self.stretches) + len(self.after_space) > REMEMBERED:
-            for x in (self.matches, self.stretches, self.after_space):
+            for x in (self.spelt, self.matches, self.stretches, self.after_space):
                 x.clear()
         out = []
         for text in texts:
