@@ -29,6 +29,8 @@ SKETCH_BITS = 512
 #: Sketches that differ in more bits are ruled out: at a similarity of 0.85 a difference over 140 is beyond eight deviations.
 MOST_DIFFERENT = 140
 WORDS64 = SKETCH_BITS // 64
+#: Members of a bucket that one task compares among themselves.
+BLOCK = 512
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -110,7 +112,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 h, first = shingle_sets(Texts(batch.column(1), lower=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes.distinct(), "node", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes.distinct().hint("merge"), "node", "left_semi")
     return rows.mapInArrow(sets, "node long, shingles binary")
 
 
@@ -131,7 +133,82 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _block_links(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
+    """Links between different components of one block pair of a bucket, as few as join all that are linked."""
+    component, side, own = (np.array(rows[x]) for x in ("component", "side", "band"))
+    n, band = len(component), int(own[0])
+    sketch, bands = np.array(rows["sketch"], np.int64).view(np.uint64), np.array(rows["bands"], np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links = []
+    for i in range(n):
+        after = np.arange(i + 1, n)
+        after = after[(component[after] != component[i]) & ((side[after] != side[i]) | (side[i] < 0))]
+        after = after[100 * np.minimum(sizes[after], sizes[i]) >= percent * np.maximum(sizes[after], sizes[i])]
+        after = after[np.bitwise_count(sketch[after] ^ sketch[i]).sum(axis=1) <= MOST_DIFFERENT]
+        after = after[~(bands[after, :band] == bands[i, :band]).any(axis=1)]  # the first band that two share compares them
+        if len(after):
+            mine, others = sets[i], np.concatenate([sets[j] for j in after])
+            same = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
+            both = np.add.reduceat(same.astype(np.int64), np.r_[0, np.cumsum(sizes[after])[:-1]])
+            for j in after[100 * both >= percent * (sizes[after] + sizes[i] - both)].tolist():
+                x, y = find(int(component[i])), find(int(component[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((rows["node"][i], rows["node"][j]))
+    return links
+
+
+def compare_blocks(placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different components within buckets, for rows (key, band, node, component, bands, sketch, shingles).
+
+    A bucket larger than a block is dealt out as pairs of blocks, so that no task holds more than two blocks of a bucket.
+    """
+    sizes = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    rows = placed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    rows = rows.withColumn("side", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("own")))
+    rows = rows.select("key", "low", "high", "band", "node", "component", "side", "bands", "sketch", "shingles").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    names = rows.columns
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = {n: [] for n in names}, None
+        found: list[tuple[int, int]] = []
+
+        def finish() -> None:
+            if len(held["node"]) > 1:
+                found.extend(_block_links(held, percent))
+            for x in held.values():
+                x.clear()
+
+        for batch in batches:
+            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+            for i, here in enumerate(zip(columns["key"], columns["low"], columns["high"])):
+                if here != at:
+                    finish()
+                    at = here
+                for n in names:
+                    held[n].append(columns[n][i])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                found.clear()
+        finish()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,10 +243,10 @@ def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component for those of the class representatives (node, bands, sketch) that are linked with another."""
     by_key = Window.partitionBy("key")
-    rows = sketches.select("node", F.explode("bands").alias("key"))
-    buckets = rows.withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1").select("key", "node").distinct()
+    rows = sketches.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = rows.withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1").select("key", "band", "node").distinct()
     buckets = cut(buckets, "buckets")
-    some = sketches.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sketch")
+    some = sketches.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "bands", "sketch")
     some = cut(some, "bucket-sketches")
     sets = cut(full_sets(docs, some.select("node")), "bucket-sets")
     found, links, tried, open_buckets, turn, before = None, None, None, buckets, 0, -1
@@ -190,17 +267,14 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
             found = components(links)
-        open_buckets, turn = open_buckets.select("key", "node"), turn + 1
+        open_buckets, turn = open_buckets.select("key", "band", "node"), turn + 1
         if n == 0 or 4 * n < before:
             break
         before = max(before, n)
     placed = _with_component(open_buckets, found)
-    placed = placed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high").select("key", "node", "component")
-    placed = cut(placed.join(some, "node"), "open-buckets")
-    left = placed.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *_sketch_columns("a"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), *_sketch_columns("b"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_enough()).select("a", "b").distinct()
-    fresh = cut(confirm(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    placed = placed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high").select("key", "band", "node", "component")
+    placed = cut(placed, "open-buckets")
+    fresh = cut(compare_blocks(placed.join(some.join(sets, "node"), "node"), percent), "links")
     return components(links.unionByName(fresh))
 
 
@@ -228,4 +302,4 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose document stands for its component, with all their columns."""
     lost = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col("lost_id"), "left_anti")
+    return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
