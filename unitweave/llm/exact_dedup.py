@@ -71,4 +71,4 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; rows with a null doc_id stay only where no other copy has an id."""
     lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("lost_id")), "left_anti")
+    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["lost_id"]), "left_anti")

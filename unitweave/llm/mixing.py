@@ -85,5 +85,5 @@ def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows that repeat a doc_id are all
     taken as often as the most taken of them."""
     times = _repetitions(docs, weights, max_epochs, seed).where("times > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("times").cast("int").alias("times_taken"))
-    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id")))
-    return joined.withColumn("repetition_of_row", F.explode(F.sequence(F.lit(1), F.col("times_taken")))).select(*[docs[c] for c in docs.columns])
+    times = times.select("taken_id", F.explode(F.sequence(F.lit(1), F.col("times_taken"))).alias("turn_taken"))
+    return docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["taken_id"])).select(*[docs[c] for c in docs.columns])
