@@ -32,7 +32,8 @@ HELD_WINDOWS, HELD_DOCS = 1_000_000, 60_000
 _SHORT = np.uint64((1 << 48) - 1)
 _NULL = (1 << 63) - 1
 
-_BLOCK = "part long, kind int, docs binary, at binary, hashes binary, positions binary"
+_BLOCK = "part long, batch long, kind int, docs binary, at binary, hashes binary, positions binary"
+_ANSWER = "batch long, docs binary, at binary, items binary"
 _FACT = "doc_key long, tag long, found binary"
 
 
@@ -84,10 +85,11 @@ def _from_six(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def _rows(rows: list[tuple], batch: int) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 6
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["part", "kind", "docs", "at", "hashes", "positions"])
+    columns.insert(1, [batch] * len(rows))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["part", "batch", "kind", "docs", "at", "hashes", "positions"])
 
 
 # Kinds of exchanged blocks: windows that wait for other tasks' answer, windows known to be repeated, and facts that are
@@ -144,9 +146,11 @@ def _by_document(docs: np.ndarray, items: np.ndarray) -> pd.DataFrame:
 
 
 def _answer(last: bool):
+    """What a part answers to each batch that asked it: which of its windows (hashes or positions) are repeated, by document."""
+
     def answer(block: pd.DataFrame) -> pd.DataFrame:
-        docs, items, hashes, kinds = [], [], [], []
-        for kind, d, at, h, p in zip(block["kind"], block["docs"], block["at"], block["hashes"], block["positions"]):
+        docs, items, hashes, kinds, batches = [], [], [], [], []
+        for batch, kind, d, at, h, p in zip(block["batch"], block["kind"], block["docs"], block["at"], block["hashes"], block["positions"]):
             keys = np.frombuffer(d, "<i8").reshape(-1, 2)
             docs.append(keys[np.frombuffer(at, "<u2")] if kind != _REPEATED else np.full((len(h) // 6, 2), _NULL, np.int64))
             n = len(docs[-1])
@@ -160,7 +164,8 @@ def _answer(last: bool):
                 hashes.append(_from_six(h))
                 items.append(np.frombuffer(h, np.uint8).reshape(-1, 6))
             kinds.append(np.full(n, kind))
-        docs, items, hashes, kinds = (np.concatenate(x) for x in (docs, items, hashes, kinds))
+            batches.append(np.full(n, batch))
+        docs, items, hashes, kinds, batches = (np.concatenate(x) for x in (docs, items, hashes, kinds, batches))
         known, asked = kinds == _KNOWN, np.flatnonzero(kinds != _KNOWN)
         if last:
             order = asked[np.lexsort((docs[asked, 0], hashes[asked, 1], hashes[asked, 0]))]
@@ -178,11 +183,28 @@ def _answer(last: bool):
             repeated = np.maximum.reduceat(kinds[order] == _REPEATED, np.flatnonzero(head)) if len(h) else np.zeros(0, bool)
             hit = np.repeat((runs > 1) | repeated, runs) & (kinds[order] == _WAITING)
         chosen = np.concatenate([np.flatnonzero(known), order[hit]])
-        return _by_document(docs[chosen], items[chosen])
+        chosen = chosen[np.argsort(batches[chosen], kind="stable")]
+        cuts = np.flatnonzero(np.diff(batches[chosen])) + 1
+        rows = []
+        for some in np.split(chosen, cuts) if len(chosen) else []:
+            used, at = np.unique(docs[some], axis=0, return_inverse=True)
+            rows.append((int(batches[some[0]]), used.astype("<i8").tobytes(), at.astype("<u2").tobytes(), items[some].tobytes()))
+        return pd.DataFrame(rows, columns=["batch", "docs", "at", "items"])
 
     return answer
 
 
+def _gather(last: bool):
+    """All answers to one batch as facts, one row for each of its documents."""
+
+    def gather(block: pd.DataFrame) -> pd.DataFrame:
+        docs = [np.frombuffer(d, "<i8").reshape(-1, 2)[np.frombuffer(at, "<u2")] for d, at in zip(block["docs"], block["at"])]
+        items = [np.frombuffer(x, "<u4") if last else np.frombuffer(x, np.uint8).reshape(-1, 6) for x in block["items"]]
+        return _by_document(np.concatenate(docs), np.concatenate(items))
+
+    return gather
+
+
 def _candidates(texts: Texts, hashes: np.ndarray, window: int, length: int, found: list[list[bytes]]) -> np.ndarray:
     """The wanted windows whose standing window of a length is among the hashes found for their document."""
     wanted, (place, best) = _standing(texts, hashes, window, length)
@@ -201,14 +223,16 @@ def _exchange(rows: DataFrame, window: int, length: int, below: int | None, part
     """Facts of one level for rows (doc_key, tag, text, found: facts of the level below, if any)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, columns, n_docs, held = [], [], [[], [], []], 0, 0
+        from pyspark import TaskContext
+
+        keys, docs, columns, n_docs, held, sent = [], [], [[], [], []], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, docs, columns, n_docs, held
+            nonlocal keys, docs, columns, n_docs, held, sent
             k, d = np.concatenate(keys), np.concatenate(docs)
             made = [np.concatenate(x) for x in columns if x]
-            keys, docs, columns, n_docs, held = [], [], [[], [], []], 0, 0
-            return _rows(_long_blocks(k, d, *made, parts) if length == window else _short_blocks(k, d, made[0], parts))
+            keys, docs, columns, n_docs, held, sent = [], [], [[], [], []], 0, 0, sent + 1
+            return _rows(_long_blocks(k, d, *made, parts) if length == window else _short_blocks(k, d, made[0], parts), TaskContext.get().partitionId() << 24 | sent)
 
         for whole in batches:
             for batch in slices(whole):
@@ -239,7 +263,8 @@ def _exchange(rows: DataFrame, window: int, length: int, below: int | None, part
             yield flush()
 
     blocks = rows.mapInArrow(send, _BLOCK)
-    facts = blocks.groupBy("part").applyInPandas(_answer(length == window), _FACT)
+    answers = blocks.groupBy("part").applyInPandas(_answer(length == window), _ANSWER)
+    facts = answers.groupBy("batch").applyInPandas(_gather(length == window), _FACT)
     return facts.groupBy("doc_key", "tag").agg(F.collect_list("found").alias("found"))
 
 
