@@ -24,7 +24,7 @@ def read_entities(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     """Entity rows from JSON lines, and how many lines were no JSON. Rows without id or entities are left out; a missing frequency is 1."""
     raw = spark.read.schema(schema + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
     good = raw.where("raw_affiliation_string_id is not null").where(F.size(F.coalesce("entities", F.array().cast(raw.schema["entities"].dataType))) > 0)
-    broken = raw.agg(F.count("_broken").alias("broken_lines"), F.count(F.lit(1)).alias("lines"))
+    broken = raw.agg(F.count("_broken").alias("broken_lines"), F.count(F.lit(1)).alias("lines"), F.count("raw_affiliation_string_id").alias("with_id"))
     return good.withColumn("frequency", F.coalesce("frequency", F.lit(1)).cast("long")).drop("_broken"), broken
 
 
