@@ -128,3 +128,13 @@ def test_near_hard(hard_docs, hard_rows, no_docs):
     assert by_id[1]["n_shingles"] == 0 and by_id[2]["component_id"] == 2 and by_id[None]["component_id"] is None and by_id[None]["kept"]
     assert near_dedup.near_groups(no_docs).count() == 0
     assert near_dedup.keep_one(hard_docs).columns == hard_docs.columns
+
+
+def test_keep_one_links_from_080(spark):
+    """The pipeline's stage drops copies whose similarity lies from 0.80 up to 0.85; the query does not link them."""
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:50] + ["x"] + base[51:75] + ["y"] + base[76:])), (3, " ".join(base[:20] + ["u"] + base[21:45] + ["v"] + base[46:70] + ["z"] + base[71:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r[2] for r in near(rows, 80)] == [1, 1, 3] and [r[2] for r in near(rows, 85)] == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == [1, 3]
+    assert grouped(near_dedup.near_groups(docs)) == near(rows)

@@ -24,9 +24,11 @@ from unitweave.llm.common import Texts, cut, mix, slices
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 40, 6  # at a similarity of 0.85 a pair shares no band with a chance of 6e-9
+#: The limit where one row of each component is kept.
+KEEP_PERCENT = 80
+BANDS, ROWS = 40, 6  # a pair shares no band with a chance of 5e-6 at a similarity of 0.8, and of 6e-9 at 0.85
 SKETCH_BITS = 512
-#: Sketches that differ in more bits are ruled out: at a similarity of 0.85 a difference over 140 is beyond eight deviations.
+#: Sketches that differ in more bits are ruled out: a difference over 140 is six deviations off at a similarity of 0.8, eight at 0.85.
 MOST_DIFFERENT = 140
 WORDS64 = SKETCH_BITS // 64
 #: Members of a bucket that one task compares among themselves.
@@ -299,7 +301,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose document stands for its component, with all their columns."""
+def keep_one(docs: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:
+    """The rows of docs whose document stands for its component at this limit, with all their columns."""
     lost = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("lost_id")).distinct()
     return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
