@@ -42,6 +42,13 @@ def test_exact_keeps_whole_rows(hard_docs):
     assert sorted(r["doc_id"] for r in kept.where("doc_id in (4, 5, 6)").collect()) == [6, 6]
 
 
+def test_exact_drops_only_the_copies(spark):
+    """What shares a dropped copy's doc_id, or like it has none, stays when its text is another."""
+    rows = [(1, "one text"), (None, "one text"), (None, "only here"), (None, None), (2, "two texts"), (3, "two texts"), (3, "three")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, "one text"), (None, "only here"), (None, None), (2, "two texts"), (3, "three")]))
+
+
 def removed(rows, n):
     first, out = {}, []
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))

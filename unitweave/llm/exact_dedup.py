@@ -69,6 +69,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows with a null doc_id stay only where no other copy has an id."""
-    lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["lost_id"]), "left_anti")
+    """The rows of docs that stay, with all their columns; a null doc_id loses ties.
+
+    Rows are known by doc_id and text together, so that what shares only a dropped copy's id stays.
+    """
+    lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha256")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(lost["lost_id"]) & (sha256(normalised(docs["text"])) == lost["lost_sha256"])
+    return docs.join(lost, same, "left_anti")
