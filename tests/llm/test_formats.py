@@ -137,6 +137,15 @@ def test_stretches_equal_the_library():
     assert encoder.encode(texts) == encoder.whole(texts)
 
 
+def test_added_tokens_equal_the_unmodified_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_binary.StretchEncoder(path)
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext |> <|endoftex", "plain text", "", "  x\u00a0<|endoftext|>y"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 1000):

@@ -65,7 +65,9 @@ class StretchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # What the library finds in a text before it is pre-tokenized: texts that hold any are encoded whole.
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -96,7 +98,7 @@ class StretchEncoder:
                 x.clear()
         out = []
         for text in texts:
-            if _ODD_SPACE.search(text):
+            if _ODD_SPACE.search(text) or self.added.search(text):
                 out += self.whole([text])
             elif _RUN.search(text):
                 out.append(b"".join(map(self.stretches.__getitem__, _STRETCH.findall(text))))
