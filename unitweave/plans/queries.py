@@ -167,6 +167,11 @@ def fold_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.fold_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
 
 
+@query(f"WITH raw_names AS (SELECT doc_id AS id, text AS raw FROM documents), {FOLD_SQL} SELECT id, folded FROM folded")
+def fold_name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.fold_name(F.col("text")).alias("folded"))
+
+
 _TYPE = rf"^(.*?)\b(?:{'|'.join(vocab.TYPE_WORDS)})\b(.*)$"
 CORE_SQL = rf"""
 k AS (SELECT id, folded, CASE WHEN regexp_matches(folded, '{_TYPE}') THEN coalesce(nullif(trim(regexp_extract(folded, '{_TYPE}', 2)), ''), nullif(trim(regexp_extract(folded, '{_TYPE}', 1)), ''), '') ELSE folded END AS c FROM folded),
