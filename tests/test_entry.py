@@ -54,3 +54,10 @@ def test_whole_texts_are_folded(spark):
     got = equal_to_sql(spark, "fold_name_texts")
     first = plans.QUERIES["fold_name"](spark, SF).toPandas()
     assert len(got) == len(first) and got["folded"].str.len().sum() > 2 * first["folded"].str.len().sum()
+
+
+def test_lexical_signals_between_ranks(spark):
+    got = equal_to_sql(spark, "lexical_signals_all")
+    names = set(got["parent"])
+    assert len(got) == len(names) * (len(names) - 1)
+    assert got["bonus"].min() < 0 < got["bonus"].max() and (got.where(got["parent_rank"] > 0)["penalty"] < 0).any()

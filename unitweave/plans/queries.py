@@ -446,6 +446,18 @@ def lexical_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("parent", "child", *told, N.lexical_bonus(F.col("parent_rank"), F.col("child_rank")).alias("bonus"), F.round(N.gap_penalty(F.col("parent_rank"), F.col("child_rank")), 6).alias("penalty"))
 
 
+@query(f"WITH n AS (SELECT DISTINCT (['faculty of ', 'school of ', 'department of ', 'centre for ', ''])[substr(p_brand, 7)::INT % 5 + 1] || lower(p_brand) AS name FROM part UNION SELECT '__INST__1'), r AS (SELECT name, {_RANK} AS rank FROM n) SELECT a.name AS parent, b.name AS child, coalesce(a.rank, -1) AS parent_rank, coalesce(b.rank, -1) AS child_rank, CASE WHEN a.rank > 0 AND b.rank > 0 THEN greatest(-0.25e0, least(0.25e0, (b.rank - a.rank) / 4.0e0)) ELSE 0.0e0 END AS bonus, round(-0.15e0 * greatest((CASE WHEN b.rank > 0 THEN b.rank ELSE 5 END) - (CASE WHEN a.rank > 0 THEN a.rank ELSE 5 END) - 1, 0), 6) + 0.0e0 AS penalty FROM r a JOIN r b ON a.name <> b.name")
+def lexical_signals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the distinct names, of which there are as many as brands."""
+    ranks = F.array(*[F.lit(x) for x in ("faculty of ", "school of ", "department of ", "centre for ", "")])
+    name = F.concat(F.get(ranks, F.substring("p_brand", 7, 9).cast("int") % 5), F.lower("p_brand")).alias("name")
+    n = table(spark, sf_dir, "part").select(name).distinct().unionByName(spark.range(1).select(F.lit("__INST__1").alias("name")))
+    r = n.withColumn("rank", N.lexical_rank(F.col("name")))
+    both = r.toDF("parent", "parent_rank").crossJoin(r.toDF("child", "child_rank")).where("parent != child")
+    told = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("parent_rank", "child_rank")]
+    return both.select("parent", "child", *told, N.lexical_bonus(F.col("parent_rank"), F.col("child_rank")).alias("bonus"), F.round(N.gap_penalty(F.col("parent_rank"), F.col("child_rank")), 6).alias("penalty"))
+
+
 @query("SELECT o_orderkey, round(CASE WHEN o_custkey <= 0 THEN 1.0e0 ELSE 1.0e0 / (1.0e0 + ln(1.0e0 + o_custkey)) END, 9) AS scale FROM orders")
 def frequency_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(N.frequency_scale(F.col("o_custkey")), 9).alias("scale"))
