@@ -61,3 +61,9 @@ def test_lexical_signals_between_ranks(spark):
     names = set(got["parent"])
     assert len(got) == len(names) * (len(names) - 1)
     assert got["bonus"].min() < 0 < got["bonus"].max() and (got.where(got["parent_rank"] > 0)["penalty"] < 0).any()
+
+
+def test_spans_are_whole_turns(spark):
+    got = equal_to_sql(spark, "span_topk_texts")
+    turns = {t.strip(" ") for t in spark.read.parquet(f"{SF}/conversations.parquet").toPandas()["text"].dropna()}
+    assert len(got) and set(got["word"]) <= turns and got["word"].str.len().max() > 20

@@ -534,6 +534,14 @@ def span_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.posexplode(chosen).alias("place", "word")).withColumn("place", F.col("place").cast("long"))
 
 
+@query("WITH s AS (SELECT conv_id, turn, trim(text) AS word, length(text) AS n, turn / 10.0e0 AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, score DESC, turn) AS k FROM s WHERE word <> '') SELECT conv_id, k - 1 AS place, word FROM r WHERE k <= greatest(1, conv_id % 4)")
+def span_topk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = F.struct(F.lit("SPAN").alias("entity_group"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("word"), (F.col("turn") / 10.0).alias("score"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", span.alias("s")))).alias("l"))
+    chosen = entities.choose_spans(F.transform("l", lambda x: x["s"]), F.col("conv_id") % 4)
+    return rows.select("conv_id", F.posexplode(chosen).alias("place", "word")).withColumn("place", F.col("place").cast("long"))
+
+
 @query("SELECT event_id, coalesce(json_extract(props, '$.k')::INT, 1) AS frequency FROM events")
 def json_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(1)).alias("frequency"))
