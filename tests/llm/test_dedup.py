@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,16 @@ def test_substrings_of_shared_passages(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_all_ask():
+    """Rows of one task that share the least doc_id (null, or repeated) but not the text each ask about their window; copies ask once."""
+    for key in (substring_dedup._NULL, 7):
+        keys = np.array([[key, 11], [key, 12], [key, 12], [9 if key == 7 else key, 13]])
+        same = np.full(4, 5, np.uint64)
+        rows = substring_dedup._long_blocks(keys, np.arange(4), same, same, np.arange(4), 1)
+        asking = [tuple(np.frombuffer(r[2], "<i8").reshape(-1, 2)[k]) for r in rows if r[1] == substring_dedup._WAITING for k in np.frombuffer(r[3], "<u2")]
+        assert sorted(asking) == sorted({(key, 11), (key, 12)} | ({(key, 13)} if key != 7 else set()))
+
+
 def near(rows, percent=85):
     sets = {}
     for i, t in rows:

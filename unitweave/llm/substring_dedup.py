@@ -118,16 +118,18 @@ def _short_blocks(keys: np.ndarray, docs: np.ndarray, hashes: np.ndarray, parts:
 
 
 def _long_blocks(keys: np.ndarray, docs: np.ndarray, first: np.ndarray, second: np.ndarray, positions: np.ndarray, parts: int) -> list[tuple]:
-    ids = keys[docs, 0]
-    order = np.lexsort((positions, docs, ids, second, first))
-    a, b, i, d, p = first[order], second[order], ids[order], docs[order], positions[order]
+    ids, tags = keys[docs, 0], keys[docs, 1]
+    order = np.lexsort((positions, docs, tags, ids, second, first))
+    a, b, i, t, d, p = first[order], second[order], ids[order], tags[order], docs[order], positions[order]
     head = np.ones(len(a), bool)
     head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     least = np.repeat(i[head], np.diff(np.append(np.flatnonzero(head), len(a)))) if len(a) else i
     later = i > least
+    asks = head.copy()  # rows that share the least doc_id but not the text each ask
+    asks[1:] |= (t[1:] != t[:-1]) & ~later[1:]
     rows = []
-    for part, at in _parts_of(a[head], parts):
-        x = np.flatnonzero(head)[at]
+    for part, at in _parts_of(a[asks], parts):
+        x = np.flatnonzero(asks)[at]
         rows.append((part, _WAITING, *_docs_blob(keys, d[x]), np.stack([a[x], b[x]], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16)[:, :12].tobytes(), p[x].astype("<u4").tobytes()))
     if later.any():
         by_doc = np.lexsort((p[later], d[later]))
