@@ -6,10 +6,13 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from unitweave.llm import exact_dedup, near_dedup, substring_dedup
+from unitweave.llm import common, exact_dedup, near_dedup, substring_dedup
+from unitweave.llm.common import span_hash, window_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -93,6 +96,66 @@ def test_rows_that_share_an_id_all_ask():
         assert sorted(asking) == sorted({(key, 11), (key, 12)} | ({(key, 13)} if key != 7 else set()))
 
 
+def opposite_words(size=1024):
+    """Two words of equal length whose letters a and b are swapped, so ordered that sums of powers of any odd base agree modulo 2 ** 64."""
+    x, y = "a", "b"
+    while len(x) < size:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    x, y = opposite_words()
+    rows = [(1, " ".join([f"w{i}" for i in range(12)] + [x])), (2, " ".join([f"w{i}" for i in range(12)] + [y])), (3, " ".join([x] * 3)), (4, " ".join([y] * 3)), (5, x), (6, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert stripped(substring_dedup.remove_repeats(docs)) == removed(rows, 13)
+    assert grouped(near_dedup.near_groups(docs)) == near(rows)
+
+
+def test_hashes_tell_spans_apart():
+    """All spans of a text differ in hash exactly where they differ in bytes, in both lanes, below and above the length of long words."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    starts = rng.integers(0, 300, 3000)
+    ends = starts + rng.integers(0, 100, 3000)
+    spans = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    for lane in (0, 1):
+        hashes = span_hash(data, starts, ends, lane).tolist()
+        assert len(set(hashes)) == len(set(spans)) == len(set(zip(spans, hashes)))
+    for n in (1, 2, 5, 7, 13):
+        few = rng.integers(0, 2, 300).astype(np.uint64)
+        found = window_hash(few, n).tolist()
+        runs = [tuple(few[i : i + n].tolist()) for i in range(301 - n)]
+        assert len(found) == len(runs) and len(set(found)) == len(set(runs)) == len(set(zip(runs, found)))
+
+
+def test_rows_that_share_an_id_over_tasks(spark, monkeypatch):
+    """Twelve rows with one id and different texts hold a passage of a smaller id: all lose it, whichever tasks hold them."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage), *[(5, f"own{i} text{i} {passage} end{i}") for i in range(12)], *[(None, f"none{i} {passage}") for i in range(3)]]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert stripped(substring_dedup.remove_repeats(docs)) == removed(rows, 13)
+
+
+def test_more_documents_than_16_bits_name():
+    keys = np.stack([np.arange(70_000), np.arange(70_000)], axis=1)
+    with pytest.raises(OverflowError):
+        substring_dedup._docs_blob(keys, np.arange(70_000))
+    assert substring_dedup.HELD_DOCS + common.SLICE_ROWS <= 1 << 16
+    batch = pa.record_batch([pa.array(["x"] * 40_000)], names=["text"])
+    assert [len(x) for x in common.slices(batch)] == [1 << 14, 1 << 14, 40_000 - (1 << 15)]
+
+
+def test_many_short_documents(spark):
+    """One task holds more documents than one batch may name."""
+    words = " ".join(f"w{i}" for i in range(13))
+    rows = [(i, f"{words} {i % 5}" if i % 2 else f"short {i}") for i in range(70_000)]
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).coalesce(1)
+    out = substring_dedup.remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(2, 0, 35_000), (14, 0, 1), (14, 13, 4), (14, 14, 34_995)]
+
+
 def near(rows, percent=85):
     sets = {}
     for i, t in rows:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -63,18 +64,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = _LETTER[65:91] = _LETTER[97:123] = True
-_BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64; kept and grown as longer batches come."""
-    kept = _powers.get(base)
-    if kept is None or len(kept) <= n:
-        kept = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        kept[0] = 1
-        _powers[base] = kept = np.cumprod(kept, dtype=np.uint64)
-    return kept
+#: Longer words are hashed by a digest of their own, shorter ones eight bytes at a time for all words together.
+LONG_WORD = 64
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,22 +80,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for many spans at once, by differences of prefix sums."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    up = _power(base, len(values))[: len(values)]
-    np.cumsum(values * up, out=sums[1:])
-    down = _power(pow(base, -1, 1 << 64), len(values))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans of bytes. The two lanes are independent: together they make 128 bits.
+
+    Eight bytes at a time are mixed into a state whose every bit depends on all bytes before, so no two patterns of
+    letters cancel as they may in a sum of powers.
+    """
+    sizes = ends - starts
+    wide = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(16, np.uint8)).data, strides=(1,))
+    out = mix(sizes.astype(np.uint64) + _SEEDS[lane])
+    at, k = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(at):
+        out[at] = mix(out[at] ^ (wide[starts[at] + k] & _LOW_BYTES[np.minimum(sizes[at] - k, 8)]))
+        k += 8
+        at = at[sizes[at] > k]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return out
+
+
+def window_hash(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of so many hashes, by joining runs of half the length, of a quarter, and so on."""
+    span = 1
+    while span < length and len(hashes) > length - span:
+        step = min(span, length - span)
+        hashes, span = mix(mix(hashes[:-step] + np.uint64(span + step)) ^ hashes[step:]), span + step
+    return hashes if span == length else hashes[:0]
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the bytes of a string or binary array's rows begin, and where the last ends; 32-bit or 64-bit in Arrow."""
+    if not len(column):
+        return np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+#: Rows of a slice, at most.
+SLICE_ROWS = 1 << 14
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 20):
-    """Cut a batch into runs of rows with about most_bytes of text; a longer text stands alone."""
-    texts = batch.column(batch.schema.get_field_index(column))
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 1 << 20):
+    """Cut a batch into runs of rows with about most_bytes of text, and at most SLICE_ROWS rows; a longer text stands alone."""
+    offsets = _offsets(batch.column(batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(offsets, int(offsets[first]) + most_bytes, side="right")) - 1)
+        last = min(max(first + 1, int(np.searchsorted(offsets, int(offsets[first]) + most_bytes, side="right")) - 1), first + SLICE_ROWS)
         yield batch.slice(first, last - first)
         first = last
 
@@ -114,7 +138,7 @@ class Texts:
         """lower: A-Z become a-z. letters: words are runs of letters (ASCII letters, and all bytes beyond ASCII), in lower case."""
         column = column.cast(pa.string()).fill_null("") if column.null_count or column.type != pa.string() else column
         n = len(column)
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        offsets = _offsets(column)
         body = column.buffers()[2] if n else None
         data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.n, self.offsets, self.data = n, offsets - offsets[0], _LOWER[data] if lower or letters else data
@@ -136,26 +160,24 @@ class Texts:
     def row_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts)
 
-    def word_hashes(self) -> np.ndarray:
-        return _span_hash(self.data.astype(np.uint64), self.starts, self.ends, _BYTE_BASE)
+    def word_hashes(self, lane: int = 0) -> np.ndarray:
+        return span_hash(self.data, self.starts, self.ends, lane)
 
     def prefix_hashes(self, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length, the words with more code points than that, and hashes of their first so many."""
         heads = np.flatnonzero((self.data & 0xC0) != 0x80)
         first, last = np.searchsorted(heads, self.starts), np.searchsorted(heads, self.ends)
-        heads = np.append(heads, len(self.data))
-        wide, out = self.data.astype(np.uint64), []
+        heads, out = np.append(heads, len(self.data)), []
         for n in lengths:
             at = np.flatnonzero(last - first > n)
-            out.append((at, mix(_span_hash(wide, self.starts[at], heads[first[at] + n], _BYTE_BASE) + np.uint64(n))))
+            out.append((at, mix(span_hash(self.data, self.starts[at], heads[first[at] + n]) + np.uint64(n))))
         return out
 
-    def windows(self, hashes: np.ndarray, length: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all windows of so many words inside one row, and their hashes."""
         room = np.repeat(self.first[1:], self.counts) - np.arange(len(hashes))
         at = np.flatnonzero(room >= length)
-        values = mix(hashes + np.uint64(0x165667B19E3779F9)) if second else hashes
-        return at, _span_hash(values, at, at + length, _WORD_BASE_2 if second else _WORD_BASE)
+        return at, window_hash(hashes, length)[at]
 
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Sum of a value of each byte, by row."""

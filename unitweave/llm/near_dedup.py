@@ -31,6 +31,8 @@ SKETCH_BITS = 512
 #: Sketches that differ in more bits are ruled out: a difference over 140 is six deviations off at a similarity of 0.8, eight at 0.85.
 MOST_DIFFERENT = 140
 WORDS64 = SKETCH_BITS // 64
+#: Parts of a set's documents that look for their class apart.
+SALTS = 32
 #: Members of a bucket that one task compares among themselves.
 BLOCK = 512
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -291,8 +293,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sketched = cut(sketch_documents(docs), "sketches")
     named = sketched.where("n_shingles > 0 and doc_id is not null")
-    least = named.groupBy("name").agg(F.min("doc_id").alias("node"))
-    classes = cut(named.select("doc_id", "name").join(least, "name").select("doc_id", "node").distinct(), "classes")
+    # The least doc_id of a set's salts, then of the set: a set that a third of all documents share meets in no task.
+    salted = named.select("doc_id", "name", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    least = salted.groupBy("name", "salt").agg(F.min("doc_id").alias("node"))
+    least = least.withColumn("node", F.min("node").over(Window.partitionBy("name")))
+    classes = cut(salted.join(least, ["name", "salt"]).select("doc_id", "node").distinct(), "classes")
     heads = classes.where("doc_id = node").select("node").distinct()
     sketches = named.select(F.col("doc_id").alias("node"), "bands", "sketch").join(heads, "node", "left_semi")
     linked = link_classes(docs, sketches, percent)

@@ -86,6 +86,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents)),
+g AS (SELECT doc_id, p, word, CASE WHEN count(*) OVER ahead = 13 THEN string_agg(word, ' ') OVER ahead END AS gram
+  FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+least AS (SELECT gram, min(doc_id) AS first_doc FROM g WHERE gram IS NOT NULL GROUP BY gram),
+hit AS (SELECT g.doc_id, p, word, coalesce(first_doc < g.doc_id, false) AS again FROM g LEFT JOIN least ON g.gram = least.gram),
+gone AS (SELECT doc_id, p, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS lost FROM hit),
+told AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (lost) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT lost), '')) AS kept_sha256 FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
+"""
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -100,6 +112,21 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM l),
+s AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM w) WHERE p <= greatest(n - 4, 1)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_have JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS other FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id
+"""
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_index.archive_and_read(_table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -130,4 +157,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op6_source_mixing": OP6_SQL, "op10_warc_index": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op6_source_mixing": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_warc_index": OP10_SQL}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import _power, mix, slices
+from unitweave.llm.common import mix, slices
 
 SPACE = "▁"
 #: Words whose lattice is folded at once, and words whose ids a worker remembers; it starts anew when full.
@@ -32,6 +32,19 @@ _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _NO_RANK = np.int32(2**31 - 1)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n modulo 2 ** 64; kept and grown as longer batches come."""
+    kept = _powers.get(base)
+    if kept is None or len(kept) <= n:
+        kept = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        kept[0] = 1
+        _powers[base] = kept = np.cumprod(kept, dtype=np.uint64)
+    return kept
+
+
 class Codec:
     """Tables of a SentencePiece byte-pair model file with byte fallback, and encoding and decoding by them."""
 

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import Texts, cut, mix, pieces_for, slices, text_bytes
+from unitweave.llm.common import SLICE_ROWS, Texts, cut, mix, pieces_for, slices, text_bytes
 
 WINDOW = 13
 FIRST_LENGTH = 7
 PART_BYTES = 16 << 20
-#: A task exchanges what it has combined after so many windows or documents.
-HELD_WINDOWS, HELD_DOCS = 1_000_000, 60_000
+#: A task exchanges what it has combined after so many windows or documents; a batch names its documents with 16 bits.
+HELD_WINDOWS, HELD_DOCS = 1_000_000, (1 << 16) - SLICE_ROWS
 _SHORT = np.uint64((1 << 48) - 1)
 _NULL = (1 << 63) - 1
 
@@ -72,7 +72,13 @@ def _parts_of(hashes: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
 def _docs_blob(keys: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
     """The documents that some rows use, and each row's place among them."""
     used, at = np.unique(docs, return_inverse=True)
-    return keys[used].tobytes(), at.astype("<u2").tobytes()
+    return keys[used].tobytes(), _places(at, len(used))
+
+
+def _places(at: np.ndarray, n: int) -> bytes:
+    if n > 1 << 16:
+        raise OverflowError(f"{n} documents in a batch")
+    return at.astype("<u2").tobytes()
 
 
 def _six(hashes: np.ndarray) -> bytes:
@@ -190,7 +196,7 @@ def _answer(last: bool):
         rows = []
         for some in np.split(chosen, cuts) if len(chosen) else []:
             used, at = np.unique(docs[some], axis=0, return_inverse=True)
-            rows.append((int(batches[some[0]]), used.astype("<i8").tobytes(), at.astype("<u2").tobytes(), items[some].tobytes()))
+            rows.append((int(batches[some[0]]), used.astype("<i8").tobytes(), _places(at, len(used)), items[some].tobytes()))
         return pd.DataFrame(rows, columns=["batch", "docs", "at", "items"])
 
     return answer
@@ -245,7 +251,7 @@ def _exchange(rows: DataFrame, window: int, length: int, below: int | None, part
                 chosen = None if below is None else _candidates(texts, hashes, window, below, [x or [] for x in batch.column(3).to_pylist()])
                 if length == window:
                     at, first = texts.windows(hashes, window)
-                    second = texts.windows(hashes, window, second=True)[1]
+                    second = texts.windows(texts.word_hashes(lane=1), window)[1]
                     pick = np.arange(len(at)) if chosen is None else np.searchsorted(at, chosen)
                     row = np.searchsorted(texts.first, at[pick], side="right") - 1
                     made = (first[pick], second[pick] & np.uint64(0xFFFFFFFF), at[pick] - texts.first[row])
