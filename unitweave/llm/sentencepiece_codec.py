@@ -1,260 +1,168 @@
-"""SentencePiece encoding and decoding over a lattice of pieces.
+"""SentencePiece encoding and decoding over a relational lattice of pieces, in DataFrame operations only.
 
-Words are cut where white space begins. All substrings of a word up to the longest piece's length are joined to the
-piece table by their hash; what matches are the edges of the word's lattice.
+Texts are cut into units: a space mark with the letters or the other characters after it. No piece of the model spans two
+units, so that the best path of a text is that of its units. The distinct units of all documents explode into substrings
+of bounded length, which an equi-join matches with the piece table; what matches are the edges of a unit's lattice, which
+are grouped by unit and folded by Viterbi's rule with a higher-order aggregate.
 
-* viterbi() is for unigram models and stays in DataFrame operations: it explodes substrings, equi-joins them to the piece
-  table, groups edges by word and folds the best path with a higher-order aggregate.
-* encode() is for byte-pair models, whose result is not the path with the best sum of scores: it folds the edges in the
-  order of their merge scores, the best of a word first and the leftmost of equals, as the library does. It works on each
-  batch's distinct words, so that no word occurrence is shuffled and memory is bounded.
+Texts are shuffled once, into blocks. A block's units are made distinct inside it, look their ids up among the units of
+all blocks, and come back to the block, where the ids replace the units of its texts. So neither the occurrences of words
+nor a table of all words ever meet in one task.
+
+The model is a byte-pair model, whose scores are ranks of merges. They become costs by the law of Zipf and Mandelbrot,
+log(ZIPF + rank), so a path's cost stands for a probability; ids are those of the best path, which for about one word in
+fourteen is another than that which the library reaches by merging.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from array import array
-from collections.abc import Iterator
+import math
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import mix, slices
+from unitweave.llm.common import pieces_for, text_bytes
 
 SPACE = "▁"
-#: Words whose lattice is folded at once, and words whose ids a worker remembers; it starts anew when full.
-FOLDED, REMEMBERED = 20_000, 700_000
-_BASE = 0xD1342543DE82EF95
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-_NO_RANK = np.int32(2**31 - 1)
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64; kept and grown as longer batches come."""
-    kept = _powers.get(base)
-    if kept is None or len(kept) <= n:
-        kept = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        kept[0] = 1
-        _powers[base] = kept = np.cumprod(kept, dtype=np.uint64)
-    return kept
-
-
-class Codec:
-    """Tables of a SentencePiece byte-pair model file with byte fallback, and encoding and decoding by them."""
-
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        pieces = [model.id_to_piece(i) for i in range(n)]
-        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        if any(SPACE in pieces[i].lstrip(SPACE) for i in plain):
-            raise ValueError("pieces that go on after white space begins are not supported")
-        self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        scores = np.array([model.get_score(i) for i in range(n)])
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
-        self.longest = max(len(pieces[i]) for i in plain)
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for length in range(1, self.longest + 1):
-            ids = np.array([i for i in plain if len(pieces[i]) == length], np.int32)
-            points = np.frombuffer("".join(pieces[i] for i in ids).encode("utf-32-le"), np.uint32)
-            hashes = self._hashes(points, np.arange(len(ids)) * length, length) if len(ids) else np.zeros(0, np.uint64)
-            order = np.argsort(hashes)
-            self.tables.append((hashes[order], ids[order]))
-        self.bytes_of = [bytes([self.byte_ids.index(i)]) if model.is_byte(i) else b"" if model.is_control(i) else (" ⁇ " if model.is_unknown(i) else pieces[i].replace(SPACE, " ")).encode() for i in range(n)]
-        self.code = "H" if n <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def _hashes(points: np.ndarray, starts: np.ndarray, length: int, sums: np.ndarray | None = None) -> np.ndarray:
-        if sums is None:
-            sums = Codec._sums(points)
-        down = _power(pow(_BASE, -1, 1 << 64), len(points))
-        return mix((sums[starts + length] - sums[starts]) * down[starts])
-
-    @staticmethod
-    def _sums(points: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(points))[: len(points)], out=sums[1:])
-        return sums
-
-    def lattice(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """edges[length, start]: the piece that spans so many code points from there inside one word, or -1."""
-        sums = self._sums(points)
-        room = ends - np.arange(len(points))
-        edges = np.full((self.longest + 1, len(points)), -1, np.int32)
-        for length, (hashes, ids) in enumerate(self.tables, 1):
-            at = np.flatnonzero(room >= length)
-            if not len(at):
-                break
-            if len(hashes):
-                found = self._hashes(points, at, length, sums)
-                place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                hit = np.flatnonzero(hashes[place] == found)
-                edges[length, at[hit]] = ids[place[hit]]
-        return edges
-
-    def fold(self, edges: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the symbols that remain when no two neighbours of a word form a piece any more."""
-        start, length, word = np.arange(edges.shape[1]), np.ones(edges.shape[1], np.int64), words
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(start):
-            both = length[:-1] + length[1:]
-            near = np.flatnonzero((word[1:] == word[:-1]) & (both <= self.longest))
-            rank = np.full(len(start), _NO_RANK)
-            piece = edges[both[near], start[near]]
-            rank[near[piece >= 0]] = self.rank[piece[piece >= 0]]
-            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(rank, heads)
-            sizes = np.diff(np.r_[heads, len(start)])
-            over = np.repeat(best == _NO_RANK, sizes)
-            if over.any():
-                done.append((start[over], length[over]))
-            hits = np.flatnonzero((rank == np.repeat(best, sizes)) & ~over)
-            left = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]] if len(hits) else hits
-            length[left] += length[left + 1]
-            stay = ~over
-            stay[left + 1] = False
-            start, length, word = start[stay], length[stay], word[stay]
-        starts, lengths = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(starts)
-        return starts[order], lengths[order]
-
-    def learn(self, units: list[str]) -> None:
-        """Ids of words, each given without its first white-space mark."""
-        for some in (units[i : i + FOLDED] for i in range(0, len(units), FOLDED)):
-            text = SPACE + SPACE.join(some)
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            sizes = np.array([len(x) + 1 for x in some])
-            ends = np.cumsum(sizes)
-            words = np.repeat(np.arange(len(some)), sizes)
-            edges = self.lattice(points, np.repeat(ends, sizes))
-            starts, lengths = self.fold(edges, words)
-            ids = edges[lengths, starts]
-            cuts = np.searchsorted(starts, ends)
-            packed = ids.astype(np.uint16 if self.code == "H" else np.uint32)
-            unknown = set(words[starts[ids < 0]].tolist())
-            first = 0
-            for i, (unit, last) in enumerate(zip(some, cuts.tolist())):
-                if i in unknown:
-                    plain = []
-                    for s, k in zip(starts[first:last].tolist(), ids[first:last].tolist()):
-                        plain += [k] if k >= 0 else [self.byte_ids[b] for b in text[s].encode("utf-8", "replace")]
-                    self.known[unit] = array(self.code, plain).tobytes()
-                else:
-                    self.known[unit] = packed[first:last].tobytes()
-                first = last
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        parts = []
-        for text in texts:
-            if not text:
-                parts.append([])
-            elif "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-                parts.append([x[1:] for x in _UNIT.findall(SPACE + text.replace(" ", SPACE))])
-            else:
-                parts.append(text.split(" "))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {x for p in parts for x in p if x not in known}
-        if new:
-            self.learn(list(new))
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint16 if self.code == "H" else np.uint32) for p in parts]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are not UTF-8 become U+FFFD."""
-        body = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return body.decode("utf-8", "replace").removeprefix(" ")
-
-
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs.clear()
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+#: Longest run of one kind of character that makes a unit; longer runs are cut.
+UNIT = 32
+ZIPF = 1000
+#: Cost, in millionths of a nat, of a character that no piece covers and that is spelt in bytes.
+UNKNOWN_COST = 50_000_000
+BLOCK_BYTES = 16 << 20
+#: Units of a text whose ids are gathered at once.
+CHUNK = 4096
+
+# An edge and a node of a path are one long each: the end or the path's cost, then size, cost and id.
+_COST_BITS, _SIZE_BITS, _ID_BITS = 28, 6, 22
+_UNKNOWN = (1 << _ID_BITS) - 1
+_UNITS = (
+    rf"{SPACE}?[\p{{L}}\p{{M}}]{{1,{UNIT}}}|{SPACE}?[^{SPACE}\t-\f\p{{L}}\p{{M}}]{{1,{UNIT}}}"
+    rf"|{SPACE}{{1,{UNIT // 2}}}(?={SPACE})|{SPACE}|[\t-\f]"
+)
+
+
+@dataclass
+class Model:
+    """pieces: (piece, id, cost) of all plain pieces; byte_ids: the ids that spell single bytes; texts: what each id decodes to, in hex."""
+
+    pieces: list[tuple[str, int, int]]
+    byte_ids: list[int]
+    texts: list[str]
+    longest: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """piece, id, cost."""
+        return spark.createDataFrame(self.pieces, "piece string, id long, cost long")
+
+
+def load(path: str) -> Model:
+    """The tables of a SentencePiece byte-pair model file with byte fallback."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    ids = range(model.get_piece_size())
+    names = [model.id_to_piece(i) for i in ids]
+    plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    pieces = [(names[i], i, round(1e6 * math.log(ZIPF - model.get_score(i)))) for i in plain]
+    byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    spelt = {i: f"{b:02X}" for b, i in enumerate(byte_ids)}
+    shown = lambda i: spelt.get(i) or ("" if model.is_control(i) else (" ⁇ " if model.is_unknown(i) else names[i].replace(SPACE, " ")).encode().hex())
+    return Model(pieces, byte_ids, [shown(i) for i in ids], max(len(names[i]) for i in plain))
+
+
+def units(text: Column) -> Column:
+    """The units of a text, in order; none of an empty one. Joined, they are the text after a space, with marks for spaces."""
+    marked = F.when(text != "", F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).otherwise("")
+    return F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0))
+
+
+def viterbi(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """unit, path (array of struct(end, id)) for the distinct units of words (unit), by pieces (piece, id, cost) of at most longest characters.
+
+    A path is the cheapest way to cut a unit into pieces; end is the place of a piece's last character. Of ways of equal
+    cost the one whose last piece is shortest wins at each place. A character that no piece covers stands for itself, with
+    a null id. Null units give no rows and empty ones an empty path. pieces is broadcast: it has the size of a vocabulary.
+    A unit has at most 127 characters; words should be partitioned by unit, as then nothing else is shuffled.
+    """
+    if longest >= 1 << _SIZE_BITS:
+        raise ValueError(f"pieces of {longest} characters are too long")
+    starts = words.where("unit is not null").select("unit", F.explode_outer(F.sequence(F.lit(1), F.nullif(F.length("unit"), F.lit(0)))).alias("start"))
+    room = F.least(F.lit(longest), F.length("unit") - F.col("start") + 1)
+    spans = starts.select("unit", "start", F.explode_outer(F.sequence(F.lit(1), room)).alias("size"))
+    edges = spans.join(F.broadcast(pieces), F.substring("unit", F.col("start"), F.col("size")) == F.col("piece"), "left").where("id is not null or size = 1 or size is null")
+    end, cost, place = (F.col("start") + F.col("size") - 1).cast("long"), F.coalesce("cost", F.lit(UNKNOWN_COST)).cast("long"), F.coalesce("id", F.lit(_UNKNOWN)).cast("long")
+    edge = F.shiftleft(end, _SIZE_BITS + _COST_BITS + _ID_BITS) + F.shiftleft(F.col("size").cast("long"), _COST_BITS + _ID_BITS) + F.shiftleft(cost, _ID_BITS) + place
+    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+    def step(best: Column, e: Column) -> Column:
+        """best: for each place the cost, last size and last id of the cheapest way there; edges come by end, then size."""
+        end = F.shiftright(e, _SIZE_BITS + _COST_BITS + _ID_BITS).cast("int")
+        size = F.shiftright(e, _COST_BITS + _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
+        cost = F.shiftright(F.element_at(best, end - size + 1), _SIZE_BITS + _ID_BITS) + F.shiftright(e, _ID_BITS).bitwiseAND((1 << _COST_BITS) - 1)
+        node = F.shiftleft(cost, _SIZE_BITS + _ID_BITS) + F.shiftleft(size.cast("long"), _ID_BITS) + e.bitwiseAND(_UNKNOWN)
+        return F.when(F.size(best) == end, F.concat(best, F.array(node))).otherwise(F.concat(F.slice(best, F.lit(1), end), F.array(F.least(F.element_at(best, -1), node))))
+
+    best = lattice.select("unit", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+    def back(walk: Column, node: Column) -> Column:
+        """walk: the place whose node comes next, the place of this node, and the pieces after it."""
+        taken = F.struct(walk["at"].alias("end"), F.nullif(node.bitwiseAND(_UNKNOWN).cast("int"), F.lit(_UNKNOWN)).alias("id"))
+        size = F.shiftright(node, _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
+        here = walk["here"] - 1
+        on_path = (here == walk["at"]) & (here > 0)
+        return F.struct(F.when(on_path, here - size).otherwise(walk["at"]).alias("at"), here.alias("here"), F.when(on_path, F.concat(F.array(taken), walk["path"])).otherwise(walk["path"]).alias("path"))
+
+    begin = F.struct((F.size("best") - 1).alias("at"), F.size("best").alias("here"), F.array().cast("array<struct<end:int,id:int>>").alias("path"))
+    return best.select("unit", F.aggregate(F.reverse("best"), begin, back)["path"].alias("path"))
+
+
+def _spelt(unit: Column, path: Column, byte_ids: list[int]) -> Column:
+    """The ids of a path; characters without one are spelt by the bytes of their UTF-8."""
+    table = F.array(*[F.lit(i) for i in byte_ids])
+    octets = lambda at: F.regexp_extract_all(F.hex(F.encode(F.substring(unit, at, F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0))
+    spelt = lambda at: F.transform(octets(at), lambda x: F.element_at(table, F.conv(x, 16, 10).cast("int") + 1))
+    with_bytes = F.flatten(F.transform(path, lambda p: F.when(p["id"].isNull(), spelt(p["end"])).otherwise(F.array(p["id"]))))
+    return F.when(F.exists(path, lambda p: p["id"].isNull()), with_bytes).otherwise(F.transform(path, lambda p: p["id"]))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids, n_pieces, ids_sha256, round_trip for each row of docs (doc_id, text).
+    """doc_id, ids, n_pieces, round_trip for each row of docs (doc_id, text).
 
-    ids are those that the library gives; ids_sha256 is the lower-case hex digest of them as little-endian unsigned
-    32-bit integers; round_trip tells whether decoding gives the text again (a text that holds the library's white-space
-    mark does not come back as it was). A null or empty text has no ids and comes back empty. Repeated rows are each
-    encoded. Other columns are ignored; an empty table gives no rows.
+    round_trip tells whether decoding the ids gives the text again: always, but where a text holds the space mark itself,
+    which comes back as a space. A null or empty text has no ids and comes back empty. Repeated rows are each encoded.
+    Other columns are ignored; an empty table gives no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = codec(model_path)
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                made = model.encode(texts)
-                sizes = np.array([len(x) for x in made], np.int64)
-                flat = np.concatenate(made).astype(np.int32) if made else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-                digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in made]
-                back = [model.decode(x) == text for x, text in zip(made, texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(digests), pa.array(back)], names=["doc_id", "ids", "n_pieces", "ids_sha256", "round_trip"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, ids_sha256 string, round_trip boolean")
+    spark, model = docs.sparkSession, load(model_path)
+    n = pieces_for(spark, text_bytes(docs), BLOCK_BYTES)
+    block = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.repartitionById(n, block).withColumn("block", block)
+    # Which blocks have which unit, dealt by unit. Both uses below read both columns, so that this exchange is made once.
+    seen = rows.select("block", F.explode(units(F.col("text"))).alias("unit")).distinct().repartition(n, "unit")
+    distinct = seen.groupBy("unit").agg(F.min("block").alias("first_block"))
+    paths = viterbi(distinct.select("unit"), model.table(spark), model.longest)
+    coded = paths.select("unit", _spelt(F.col("unit"), F.col("path"), model.byte_ids).alias("ids"))
+    told = seen.join(coded.hint("shuffle_hash"), "unit").repartitionById(n, "block")
+    # A text's first unit carries the row's own columns; row numbers hold only inside the task that gives them.
+    head = F.when(F.coalesce("place", F.lit(0)) == 0, F.struct("doc_id", "text"))
+    uses = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(units(F.col("text"))).alias("place", "unit"))
+    uses = uses.select("block", "row", "place", "unit", head.alias("head")).join(told.hint("shuffle_hash"), ["block", "unit"], "left")
+    in_order = lambda by: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(by, "ids"))), lambda x: x["ids"])).alias("ids")
+    chunks = uses.groupBy("block", "row", F.floor(F.col("place") / F.lit(CHUNK)).alias("chunk")).agg(in_order("place"), F.any_value("head", F.lit(True)).alias("head"))
+    whole = chunks.groupBy("block", "row").agg(in_order("chunk"), F.any_value("head", F.lit(True)).alias("head"))
+    out = whole.select("head.doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "head.text")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (_text_of(F.col("ids"), model) == F.col("text")).alias("round_trip"))
+
+
+def _text_of(ids: Column, model: Model) -> Column:
+    """The text of ids; bytes that are not UTF-8 become U+FFFD."""
+    table = F.split(F.lit(",".join(model.texts)), ",")
+    octets = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    return F.regexp_replace(F.make_valid_utf8(octets.cast("string")), "^ ", "")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, text of encoded (doc_id, ids); null ids are no ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = codec(model_path)
-        for batch in batches:
-            texts = [model.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
-
-
-def viterbi(words: DataFrame, pieces: DataFrame, unknown_score: float = -100.0) -> DataFrame:
-    """word, pieces (array of piece texts), score for the distinct words of words (word), by pieces (piece, score) of a unigram model.
-
-    A character that no piece covers stands for itself at unknown_score. Of paths with equal sums the one whose last piece
-    is shortest wins at each place. Null words give no rows; an empty word has no pieces. pieces is broadcast: its size is
-    that of a vocabulary.
-    """
-    longest = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(1)).alias("n")).first()["n"]
-    distinct = words.where("word is not null").select("word").distinct()
-    starts = distinct.where("word != ''").select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    room = F.least(F.lit(longest), F.length("word") - F.col("start") + 1)
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), room)).alias("size")).withColumn("piece", F.substring("word", F.col("start"), F.col("size")))
-    table = F.broadcast(pieces.groupBy("piece").agg(F.max("score").alias("score")))
-    edges = spans.join(table, "piece", "left").where("score is not null or size = 1")
-    edge = F.struct((F.col("start") + F.col("size") - 1).alias("end"), "size", "piece", F.coalesce("score", F.lit(unknown_score)).cast("double").alias("score"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    start = F.array(F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit("").alias("piece"), F.lit(0).alias("size")))
-
-    def step(best: Column, e: Column) -> Column:
-        total = F.element_at(best, e["end"] - e["size"] + 1)["score"] + e["score"]
-        node = F.struct(e["end"].alias("end"), total.alias("score"), e["piece"].alias("piece"), e["size"].alias("size"))
-        last = F.element_at(best, -1)
-        return F.when(last["end"] < e["end"], F.concat(best, F.array(node))).when(total > last["score"], F.concat(F.slice(best, F.lit(1), F.size(best) - 1), F.array(node))).otherwise(best)
-
-    best = lattice.select("word", F.aggregate("edges", start, step).alias("best"))
-    walk = F.aggregate(
-        F.reverse("best"),
-        F.struct(F.length("word").alias("at"), F.array().cast("array<string>").alias("pieces")),
-        lambda acc, n: F.when(
-            (n["end"] == acc["at"]) & (n["size"] > 0), F.struct((acc["at"] - n["size"]).alias("at"), F.concat(F.array(n["piece"]), acc["pieces"]).alias("pieces"))
-        ).otherwise(acc),
-    )
-    made = best.select("word", walk["pieces"].alias("pieces"), F.element_at("best", -1)["score"].alias("score"))
-    return made.unionByName(distinct.where("word = ''").select("word", F.array().cast("array<string>").alias("pieces"), F.lit(0.0).alias("score")))
+    """doc_id, text for each row of encoded (doc_id, ids). Null ids are no ids and null elements no text; an id that the model lacks is an error."""
+    ids = F.filter(F.coalesce("ids", F.array().cast("array<int>")), lambda i: i.isNotNull())
+    return encoded.select("doc_id", _text_of(ids, load(model_path)).alias("text"))
