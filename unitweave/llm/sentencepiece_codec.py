@@ -34,8 +34,10 @@ BLOCK_BYTES = 16 << 20
 #: Units of a text whose ids are gathered at once.
 CHUNK = 4096
 
-# An edge and a node of a path are one long each: the end or the path's cost, then size, cost and id.
+# An edge of a lattice is one long: its end, cost, size and id. A node of a path is the path's cost so far, then size and id
+# of its last edge, in the same places.
 _COST_BITS, _SIZE_BITS, _ID_BITS = 28, 6, 22
+_COST_AT, _END_AT = _SIZE_BITS + _ID_BITS, _COST_BITS + _SIZE_BITS + _ID_BITS
 _UNKNOWN = (1 << _ID_BITS) - 1
 _UNITS = (
     rf"{SPACE}?[\p{{L}}\p{{M}}]{{1,{UNIT}}}|{SPACE}?[^{SPACE}\t-\f\p{{L}}\p{{M}}]{{1,{UNIT}}}"
@@ -79,42 +81,44 @@ def units(text: Column) -> Column:
 
 
 def viterbi(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, path (array of struct(end, id)) for the distinct units of words (unit), by pieces (piece, id, cost) of at most longest characters.
+    """unit, path (array of struct(end, id)) for the distinct rows of words (unit), by pieces (piece, id, cost) of at most longest characters.
 
     A path is the cheapest way to cut a unit into pieces; end is the place of a piece's last character. Of ways of equal
     cost the one whose last piece is shortest wins at each place. A character that no piece covers stands for itself, with
-    a null id. Null units give no rows and empty ones an empty path. pieces is broadcast: it has the size of a vocabulary.
-    A unit has at most 127 characters; words should be partitioned by unit, as then nothing else is shuffled.
+    a null id. Null units give no rows and empty ones an empty path. Other columns of words stay with their unit. pieces is
+    broadcast: it has the size of a vocabulary. A unit has at most 127 characters; words should be partitioned by unit, as
+    then nothing else is shuffled.
     """
     if longest >= 1 << _SIZE_BITS:
         raise ValueError(f"pieces of {longest} characters are too long")
-    starts = words.where("unit is not null").select("unit", F.explode_outer(F.sequence(F.lit(1), F.nullif(F.length("unit"), F.lit(0)))).alias("start"))
+    own = words.columns
+    starts = words.where("unit is not null").select("*", F.explode_outer(F.sequence(F.lit(1), F.nullif(F.length("unit"), F.lit(0)))).alias("start"))
     room = F.least(F.lit(longest), F.length("unit") - F.col("start") + 1)
-    spans = starts.select("unit", "start", F.explode_outer(F.sequence(F.lit(1), room)).alias("size"))
+    spans = starts.select("*", F.explode_outer(F.sequence(F.lit(1), room)).alias("size"))
     edges = spans.join(F.broadcast(pieces), F.substring("unit", F.col("start"), F.col("size")) == F.col("piece"), "left").where("id is not null or size = 1 or size is null")
     end, cost, place = (F.col("start") + F.col("size") - 1).cast("long"), F.coalesce("cost", F.lit(UNKNOWN_COST)).cast("long"), F.coalesce("id", F.lit(_UNKNOWN)).cast("long")
-    edge = F.shiftleft(end, _SIZE_BITS + _COST_BITS + _ID_BITS) + F.shiftleft(F.col("size").cast("long"), _COST_BITS + _ID_BITS) + F.shiftleft(cost, _ID_BITS) + place
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.shiftleft(end, _END_AT) + F.shiftleft(cost, _COST_AT) + F.shiftleft(F.col("size").cast("long"), _ID_BITS) + place
+    lattice = edges.groupBy(own).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
     def step(best: Column, e: Column) -> Column:
-        """best: for each place the cost, last size and last id of the cheapest way there; edges come by end, then size."""
-        end = F.shiftright(e, _SIZE_BITS + _COST_BITS + _ID_BITS).cast("int")
-        size = F.shiftright(e, _COST_BITS + _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
-        cost = F.shiftright(F.element_at(best, end - size + 1), _SIZE_BITS + _ID_BITS) + F.shiftright(e, _ID_BITS).bitwiseAND((1 << _COST_BITS) - 1)
-        node = F.shiftleft(cost, _SIZE_BITS + _ID_BITS) + F.shiftleft(size.cast("long"), _ID_BITS) + e.bitwiseAND(_UNKNOWN)
-        return F.when(F.size(best) == end, F.concat(best, F.array(node))).otherwise(F.concat(F.slice(best, F.lit(1), end), F.array(F.least(F.element_at(best, -1), node))))
-
-    best = lattice.select("unit", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+        """best: for each place the node of the cheapest way there; edges come by end."""
+        end = F.shiftright(e, _END_AT).cast("int")
+        size = F.shiftright(e, _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
+        node = F.get(best, end - size).bitwiseAND(-1 << _COST_AT) + e.bitwiseAND((1 << _END_AT) - 1)
+        return F.when(F.size(best) == end, F.concat(best, F.array(node))).otherwise(F.concat(F.slice(best, F.lit(1), end), F.array(F.least(F.get(best, end), node))))
+
+    best = lattice.select(*own, F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+
     def back(walk: Column, node: Column) -> Column:
         """walk: the place whose node comes next, the place of this node, and the pieces after it."""
         taken = F.struct(walk["at"].alias("end"), F.nullif(node.bitwiseAND(_UNKNOWN).cast("int"), F.lit(_UNKNOWN)).alias("id"))
         size = F.shiftright(node, _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
         here = walk["here"] - 1
-        on_path = (here == walk["at"]) & (here > 0)
-        return F.struct(F.when(on_path, here - size).otherwise(walk["at"]).alias("at"), here.alias("here"), F.when(on_path, F.concat(F.array(taken), walk["path"])).otherwise(walk["path"]).alias("path"))
+        taken_now = F.struct((here - size).alias("at"), here.alias("here"), F.concat(F.array(taken), walk["path"]).alias("path"))
+        return F.when((here == walk["at"]) & (here > 0), taken_now).otherwise(F.struct(walk["at"].alias("at"), here.alias("here"), walk["path"].alias("path")))
 
     begin = F.struct((F.size("best") - 1).alias("at"), F.size("best").alias("here"), F.array().cast("array<struct<end:int,id:int>>").alias("path"))
-    return best.select("unit", F.aggregate(F.reverse("best"), begin, back)["path"].alias("path"))
+    return best.select(*own, F.aggregate(F.reverse("best"), begin, back)["path"].alias("path"))
 
 
 def _spelt(unit: Column, path: Column, byte_ids: list[int]) -> Column:
@@ -138,12 +142,14 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     block = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionById(n, block).withColumn("block", block)
-    # Which blocks have which unit, dealt by unit. Both uses below read both columns, so that this exchange is made once.
+    # Which blocks have which unit, dealt by unit. A unit keeps its first block, so that both uses read both columns and this
+    # exchange is made once.
     seen = rows.select("block", F.explode(units(F.col("text"))).alias("unit")).distinct().repartition(n, "unit")
     distinct = seen.groupBy("unit").agg(F.min("block").alias("first_block"))
-    paths = viterbi(distinct.select("unit"), model.table(spark), model.longest)
-    coded = paths.select("unit", _spelt(F.col("unit"), F.col("path"), model.byte_ids).alias("ids"))
-    told = seen.join(coded.hint("shuffle_hash"), "unit").repartitionById(n, "block")
+    paths = viterbi(distinct, model.table(spark), model.longest)
+    coded = paths.select(F.col("unit").alias("coded"), "first_block", _spelt(F.col("unit"), F.col("path"), model.byte_ids).alias("ids"))
+    told = seen.join(coded.hint("shuffle_hash"), (F.col("unit") == F.col("coded")) & (F.col("block") >= F.col("first_block")))
+    told = told.select("block", "unit", "ids").repartitionById(n, "block")
     # A text's first unit carries the row's own columns; row numbers hold only inside the task that gives them.
     head = F.when(F.coalesce("place", F.lit(0)) == 0, F.struct("doc_id", "text"))
     uses = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(units(F.col("text"))).alias("place", "unit"))
