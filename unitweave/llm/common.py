@@ -7,6 +7,8 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,18 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]"
 _own_folder: list[str] = []
 
 
+#: Bytes of an Arrow batch in this subpackage's own jobs: batches are held by the JVM and by a Python worker at once.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may leave it unset and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="unitweave-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -34,10 +43,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that begin inside exchange Arrow batches of at most BATCH_BYTES with Python workers; the session's setting comes back after."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before) if before else spark.conf.unset(_BATCH_SETTING)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later jobs neither recompute it nor depend on executors."""
     path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
