@@ -150,6 +150,16 @@ def test_token_files(spark, hard_docs, hard_rows, no_docs, monkeypatch):
     assert token_binary.write_and_read(no_docs, path).count() == 0
 
 
+def test_token_folder_is_read_by_path(spark, tmp_path):
+    """What another session would have: the folder alone."""
+    docs = spark.createDataFrame([(3, "three words here"), (1, None), (2, "two")], "doc_id long, text string")
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/ids"
+    encoded = token_binary.encode_ids(docs, path)
+    token_binary.write_files(encoded, folder, token_binary.id_ranks(encoded))
+    out = sorted(map(tuple, token_binary.read_files(spark, folder).collect()))
+    assert [(d, n) for d, _, n, _ in out] == [(1, 1), (2, 2), (3, 4)] and [s for _, s, _, _ in out] == [0, 1, 3]
+
+
 def test_stretches_equal_the_library():
     encoder = token_binary.StretchEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["", "  a  b\n\n c\t\td  ", "a\x1c b  c", " 　x", "it's we'll  don't\n 'tis", "<|endoftext|> hi", "é  ß\r\n\r\n  z\n", "\n", "x#!y 12ab Straße'"]
@@ -190,9 +200,25 @@ def test_index_look_ups(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.com/p{i % 13}", f"text {i}") for i in range(300)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}"
     captures = warc_index.write_archives(pages, folder)
-    parts = warc_index.write_index(captures, folder, block_lines=9)
-    index = warc_index.CaptureIndex(parts, keep=2)
+    warc_index.write_index(captures, folder, block_lines=9)
+    index = warc_index.CaptureIndex(folder, keep=2)
     for i in (0, 7, 150, 299):
         headers, payload = index.record(warc_index.url_key(f"http://h{i % 7}.com/p{i % 13}"), i)
         assert payload == f"text {i}".encode() and headers["WARC-Type"] == "response"
-    assert index.find("com,h1)/none", 1) is None and index.find("", None) is None
+    assert not list(index.find("com,h1)/none", 1)) and not list(index.find("", None)) and not list(index.find("zz", 5))
+    with pytest.raises(KeyError):
+        index.record("com,h1)/none", 1)
+
+
+def test_rows_that_repeat_url_and_page(spark, tmp_path):
+    """Each row is a record of its own, also where many share key and page_id over several blocks; revisits find their payload."""
+    rows = [(1, "http://a.com/x", f"text {i}" * (i + 1)) for i in range(40)] + [(2, "http://a.com/x", "p" * 2000)] * 3 + [(1, "http://a.com/x", "p" * 2000), (None, None, None), (None, None, "z" * 1500), (2, "http://a.com/x", "q" * 1500), (1, "http://b.com", "q" * 1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = sorted((repr(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in warc_index.archive_and_read(pages).collect())
+    again = lambda i, h: h is not None and i == 1 and h[0] in "pq"
+    assert out == sorted((repr(i), len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if again(i, h) else "response", 2 if again(i, h) else 0) for i, _, h in rows)
+    folder = f"file://{tmp_path}"
+    captures = warc_index.write_archives(pages, folder)
+    warc_index.write_index(captures, folder, block_lines=4)
+    index = warc_index.CaptureIndex(folder, keep=2)
+    assert len(list(index.find("com,a)/x", 1))) == 41 and len({index.read(p)[0]["WARC-Record-ID"] for p in index.find("com,a)/x", 2)}) == 4

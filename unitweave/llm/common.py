@@ -130,7 +130,7 @@ def window_hash(hashes: np.ndarray, length: int) -> np.ndarray:
     return hashes if span == length else hashes[:0]
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
+def offsets_of(column: pa.Array) -> np.ndarray:
     """Where the bytes of a string or binary array's rows begin, and where the last ends; 32-bit or 64-bit in Arrow."""
     if not len(column):
         return np.zeros(1, np.int64)
@@ -144,7 +144,7 @@ SLICE_ROWS = 1 << 14
 
 def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 1 << 20):
     """Cut a batch into runs of rows with about most_bytes of text, and at most SLICE_ROWS rows; a longer text stands alone."""
-    offsets = _offsets(batch.column(batch.schema.get_field_index(column)))
+    offsets = offsets_of(batch.column(batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
         last = min(max(first + 1, int(np.searchsorted(offsets, int(offsets[first]) + most_bytes, side="right")) - 1), first + SLICE_ROWS)
@@ -159,7 +159,7 @@ class Texts:
         """lower: A-Z become a-z. letters: words are runs of letters (ASCII letters, and all bytes beyond ASCII), in lower case."""
         column = column.cast(pa.string()).fill_null("") if column.null_count or column.type != pa.string() else column
         n = len(column)
-        offsets = _offsets(column)
+        offsets = offsets_of(column)
         body = column.buffers()[2] if n else None
         data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.n, self.offsets, self.data = n, offsets - offsets[0], _LOWER[data] if lower or letters else data

@@ -3,7 +3,8 @@
 The most frequent ids get the smallest ranks. A rank takes 1 to 4 bytes; two bits of a control byte say how many, and
 control bytes stand apart from data bytes, so that numpy decodes a whole file by table look-up. A file holds documents
 in ascending doc_id order: a header, doc_ids, id counts, control bytes, data bytes. Files are written by ranges of
-doc_id, and the list of files in order gives each file's first position in the whole stream.
+doc_id. Beside them a folder holds the table of ranks and the list of files, whose order gives each file's first position
+in the whole stream, so that a folder can be read by its path alone.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitweave.llm.common import cut, fresh_path, open_input, open_output, slices, task_tag
+from unitweave.llm.common import cut, fresh_path, offsets_of, open_input, open_output, slices, small_batches, task_tag
 
 END_ID = 2
 FILE_IDS = 1 << 21
 #: Entries of a worker's memory of encoded stretches; it starts anew when full.
 REMEMBERED = 1_000_000
 MAGIC = b"UWTOK1\0\0"
+RANKS, LIST = "ranks.u32", "list"
 NULL_ID = -(1 << 63)
+_LIST = "first long, file string, n_ids long"
 
 # A stretch is white space, then what follows up to the next white space. Every pre-tokenizer match that holds a
 # non-space character ends before white space begins, so stretches are encoded alone exactly as they are in their text.
@@ -137,7 +140,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Da
 def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch's rows, and how many each row has."""
     column = batch.column(batch.schema.get_field_index("ids"))
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    offsets = offsets_of(column)
     width = batch.column(batch.schema.get_field_index("width"))[0].as_py() if len(column) else 4
     body = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     return body.view(f"<u{width}").astype(np.uint32), np.diff(offsets) // width
@@ -187,8 +190,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def write_files(encoded: DataFrame, folder: str, by_rank: np.ndarray) -> DataFrame:
-    """Write encoded documents in doc_id order; returns one row for each file: first (doc_id), file, n_ids."""
+def write_files(encoded: DataFrame, folder: str, by_rank: np.ndarray) -> None:
+    """Write encoded documents in doc_id order below folder, with the ranks and a list of the files: first (doc_id), file, n_ids."""
+    with open_output(f"{folder}/{RANKS}") as out:
+        out.write(by_rank.astype("<u4").tobytes())
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
@@ -221,13 +226,17 @@ def write_files(encoded: DataFrame, folder: str, by_rank: np.ndarray) -> DataFra
             yield flush()
 
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return cut(ordered.mapInArrow(write, "first long, file string, n_ids long"), "token-files")
+    with small_batches(encoded.sparkSession):
+        ordered.mapInArrow(write, _LIST).write.parquet(f"{folder}/{LIST}")
 
 
-def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of each document, decoded from the files."""
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of each document, decoded from
+    the files of a folder. An empty folder list gives no rows; a file of another kind is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open_input(f"{folder}/{RANKS}") as source:
+            by_rank = np.frombuffer(source.read(), "<u4")
         for batch in batches:
             for row in batch.to_pylist():
                 with open_input(row["file"]) as source:
@@ -254,8 +263,9 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
                     )
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy(F.col("first"), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = spark.read.schema(_LIST).parquet(f"{folder}/{LIST}")
     placed = files.withColumn("start", before).select("file", "start")
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(tasks, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -266,6 +276,6 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -
     their own, in the order of their ids. Other columns are ignored; an empty table gives no files and no rows.
     """
     encoded = cut(encode_ids(docs, tokenizer_path, end_id), "encoded")
-    by_rank = id_ranks(encoded)
-    files = write_files(encoded, fresh_path(docs.sparkSession, "token-ids"), by_rank)
-    return read_files(files, by_rank)
+    folder = fresh_path(docs.sparkSession, "token-ids")
+    write_files(encoded, folder, id_ranks(encoded))
+    return read_files(docs.sparkSession, folder)
