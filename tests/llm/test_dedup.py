@@ -43,7 +43,7 @@ def test_exact_compares_content(hard_docs, hard_rows):
 def test_exact_keeps_whole_rows(hard_docs):
     kept = exact_dedup.keep_first(hard_docs)
     assert kept.columns == hard_docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id in (4, 5, 6)").collect()) == [6, 6]
+    assert sorted(r["doc_id"] for r in kept.where("doc_id in (4, 5, 6)").collect()) == [6]
 
 
 def test_exact_drops_only_the_copies(spark):
@@ -53,6 +53,19 @@ def test_exact_drops_only_the_copies(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, "one text"), (None, "only here"), (None, None), (2, "two texts"), (3, "three")]))
 
 
+def test_exact_keeps_one_of_rows_that_share_all(spark, hard_docs, hard_rows, no_docs):
+    rows = [(3, "a b"), (3, "a b"), (3, "ab"), (3, "c"), (None, "x"), (None, "x"), (4, "a  b"), (5, "c")]
+    kept = exact_dedup.keep_first(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, place_0 int").repartition(3)).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, [(4, "a  b"), (3, "c"), (None, "x")]))
+    best = {}
+    for i, t, _ in hard_rows:
+        body = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best[body] = min(best.get(body, (1, True, 0, "")), (-len(t or ""), i is None, i or 0, t or ""))
+    kept = exact_dedup.keep_first(hard_docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted((i, t) for _, _, i, t in best.values())
+    assert exact_dedup.keep_first(no_docs).count() == 0
+
+
 def removed(rows, n):
     first, out = {}, []
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
@@ -219,3 +232,13 @@ def test_keep_one_links_from_080(spark):
     assert [r[2] for r in near(rows, 80)] == [1, 1, 3] and [r[2] for r in near(rows, 85)] == [1, 2, 3]
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == [1, 3]
     assert grouped(near_dedup.near_groups(docs)) == near(rows)
+
+
+def test_keep_one_by_rows(spark, no_docs):
+    """Rows that share an id or have none are judged by their own texts."""
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(7, " ".join(base)), (7, " ".join(other)), (8, " ".join(base[:59] + ["x"])), (None, " ".join(base[:59] + ["y"])), (None, "alone in the world of texts"), (9, ""), (None, None), (7, " ".join(other))]
+    kept = [(r["doc_id"], (r["text"] or "")[:2]) for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(7, "w0"), (7, "v0"), (None, "al"), (9, ""), (None, "")]))
+    assert near_dedup.keep_one(no_docs).count() == 0

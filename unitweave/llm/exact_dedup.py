@@ -8,6 +8,7 @@ group; all others look it up by digest and salt alone, so that texts do not trav
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -69,10 +70,20 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; a null doc_id loses ties.
+    """The rows of docs that stay, one of each group of equal texts, with all their columns.
 
-    Rows are known by doc_id and text together, so that what shares only a dropped copy's id stays.
+    The row with the most code points, then the smallest doc_id, stays; a null doc_id loses ties. Rows are known by doc_id
+    and text together, so that what shares only a dropped copy's id stays; of rows that share both, the one with the
+    longest text, then the first text in code-point order, stays once. An empty table gives no rows.
     """
-    lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha256")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(lost["lost_id"]) & (sha256(normalised(docs["text"])) == lost["lost_sha256"])
-    return docs.join(lost, same, "left_anti")
+    told = cut(exact_groups(docs).select(F.col("doc_id").alias("told_id"), F.col("text_sha256").alias("told_sha256"), "kept"), "exact-rows")
+    same = lambda some: docs["doc_id"].cast("long").eqNullSafe(some["told_id"]) & (sha256(normalised(docs["text"])) == some["told_sha256"])
+    lost = told.where("not kept").select("told_id", "told_sha256").distinct()
+    rest = docs.join(lost, same(lost), "left_anti")
+    twins = cut(told.where("kept").groupBy("told_id", "told_sha256").count().where("count > 1").select("told_id", "told_sha256"), "exact-twins")
+    if twins.isEmpty():
+        return rest
+    place = next(x for x in (f"place_{k}" for k in itertools.count()) if x not in docs.columns)
+    alike = Window.partitionBy(docs["doc_id"], sha256(normalised(docs["text"]))).orderBy(F.length(docs["text"]).desc_nulls_last(), docs["text"])
+    first = rest.join(twins, same(twins), "left_semi").withColumn(place, F.row_number().over(alike)).where(F.col(place) == 1).drop(place)
+    return rest.join(twins, same(twins), "left_anti").union(first)

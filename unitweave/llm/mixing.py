@@ -51,24 +51,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def _repetitions(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
-    order = seeded_order(F.col("doc_id"), seed)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order.alias("place"))
-    rows = cut(rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS)), "mix-rows")
+def _repetitions(docs: DataFrame, row: Column, write: bool, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
+    """row, size, source_size, target, times for each row of docs. write: rows are small and written, so that texts are read once."""
+    order = seeded_order(docs["doc_id"], seed)
+    rows = docs.select(row.alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), order.alias("place"))
+    # A key that is never null lets the window and the join below share one exchange.
+    rows = rows.withColumns({"bucket": F.substring("place", 1, BUCKET_DIGITS), "key": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
+    rows = cut(rows, "mix-rows") if write else rows
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     buckets = cut(buckets, "mix-buckets")
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
     before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = buckets.withColumn("before", before)
-    plan = buckets.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = buckets.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "bucket", "before", "source_size", "target")
+    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = placed.join(plan, ["key", "bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")
     start = F.col("before") + F.col("within")
     part = ((start + start + F.col("size")).cast("double") < F.lit(2.0) * rest).cast("long")
-    return placed.withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + part).alias("times"))
+    return placed.withColumn("whole", whole).select("row", "size", "source_size", "target", (F.col("whole") + part).alias("times"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -78,12 +81,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     target 0. A null source is a source of its own. Rows that repeat a doc_id count as documents of their own. The same
     rows give the same mix in any partitioning. An empty table gives no rows. Other columns are ignored.
     """
-    return _repetitions(docs, weights, max_epochs, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    row = F.struct(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"))
+    times = _repetitions(docs, row, True, weights, max_epochs, seed)
+    return times.select("row.doc_id", "row.source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows that repeat a doc_id are all
-    taken as often as the most taken of them."""
-    times = _repetitions(docs, weights, max_epochs, seed).where("times > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("times").cast("int").alias("times_taken"))
-    times = times.select("taken_id", F.explode(F.sequence(F.lit(1), F.col("times_taken"))).alias("turn_taken"))
-    return docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["taken_id"])).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each row of docs as often as mix() takes it, with the columns of docs. A document without words, which
+    takes no words of the mix however often it comes, stays as often as its source's epochs say."""
+    times = _repetitions(docs, F.struct(*[docs[c] for c in docs.columns]), False, weights, max_epochs, seed).where("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

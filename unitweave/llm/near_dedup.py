@@ -307,6 +307,16 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:
-    """The rows of docs whose document stands for its component at this limit, with all their columns."""
-    lost = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
+    """The rows of docs that stand for their component at this limit, with all their columns.
+
+    Where each row has a doc_id of its own, the one with the smallest stays. Where ids repeat or are null, rows are
+    numbered and each is a document of its own: of a component the row with the smallest number stays.
+    """
+    odd = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1")
+    if odd.isEmpty():
+        lost = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("lost_id"))
+        return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
+    # Numbers hold as the numbered rows are written before they are used.
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "numbered")
+    lost = near_groups(rows.select(F.col("number").alias("doc_id"), "row.text"), percent).where("not kept").select(F.col("doc_id").alias("number"))
+    return rows.join(lost, "number", "left_anti").select("row.*")
