@@ -30,7 +30,8 @@ UNIT = 32
 ZIPF = 1000
 #: Cost, in millionths of a nat, of a character that no piece covers and that is spelt in bytes.
 UNKNOWN_COST = 50_000_000
-BLOCK_BYTES = 16 << 20
+#: Text of a block, whose units meet in one task; larger blocks share more units and need more memory.
+BLOCK_BYTES = 6 << 20
 #: Units of a text whose ids are gathered at once.
 CHUNK = 4096
 
@@ -130,7 +131,7 @@ def _spelt(unit: Column, path: Column, byte_ids: list[int]) -> Column:
     return F.when(F.exists(path, lambda p: p["id"].isNull()), with_bytes).otherwise(F.transform(path, lambda p: p["id"]))
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids, n_pieces, round_trip for each row of docs (doc_id, text).
 
     round_trip tells whether decoding the ids gives the text again: always, but where a text holds the space mark itself,
@@ -138,7 +139,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     spark, model = docs.sparkSession, load(model_path)
-    n = pieces_for(spark, text_bytes(docs), BLOCK_BYTES)
+    n = pieces_for(spark, text_bytes(docs), block_bytes)
     block = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionById(n, block).withColumn("block", block)
@@ -155,7 +156,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     uses = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(units(F.col("text"))).alias("place", "unit"))
     uses = uses.select("block", "row", "place", "unit", head.alias("head")).join(told.hint("shuffle_hash"), ["block", "unit"], "left")
     in_order = lambda by: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(by, "ids"))), lambda x: x["ids"])).alias("ids")
-    chunks = uses.groupBy("block", "row", F.floor(F.col("place") / F.lit(CHUNK)).alias("chunk")).agg(in_order("place"), F.any_value("head", F.lit(True)).alias("head"))
+    chunks = uses.groupBy("block", "row", F.floor(F.coalesce("place", F.lit(0)) / F.lit(CHUNK)).alias("chunk")).agg(in_order("place"), F.any_value("head", F.lit(True)).alias("head"))
     whole = chunks.groupBy("block", "row").agg(in_order("chunk"), F.any_value("head", F.lit(True)).alias("head"))
     out = whole.select("head.doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "head.text")
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (_text_of(F.col("ids"), model) == F.col("text")).alias("round_trip"))
