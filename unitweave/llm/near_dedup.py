@@ -246,22 +246,15 @@ def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component for those of the class representatives (node, bands, sketch) that are linked with another."""
-    by_key = Window.partitionBy("key")
     rows = sketches.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1").select("key", "band", "node").distinct()
-    buckets = cut(buckets, "buckets")
-    some = sketches.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "bands", "sketch")
-    some = cut(some, "bucket-sketches")
+    several = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), "bucket-keys")
+    open_buckets = cut(rows.join(several, "key", "left_semi").select("key", "band", "node").distinct(), "buckets")
+    some = cut(sketches.join(open_buckets.select("node").distinct(), "node", "left_semi").select("node", "bands", "sketch"), "bucket-sketches")
     sets = cut(full_sets(docs, some.select("node")), "bucket-sets")
-    found, links, tried, open_buckets, turn, before = None, None, None, buckets, 0, -1
+    found, links, tried, turn, before = None, None, None, 0, -1
     while True:
-        placed = _with_component(open_buckets, found)
-        mixed = Window.partitionBy("key")
-        placed = placed.withColumns({"low": F.min("component").over(mixed), "high": F.max("component").over(mixed)}).where("low < high").drop("low", "high")
-        open_buckets = cut(placed, "open-buckets")
-        order = F.struct(F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
-        stands = open_buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("component").alias("component"))).alias("s"))
-        pairs = open_buckets.join(stands, "key").where(F.col("s.component") != F.col("component"))
+        placed, stands = _open(open_buckets, found, turn)
+        pairs = placed.join(stands, "key").where(F.col("s.component") != F.col("component"))
         pairs = pairs.select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b")).distinct()
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(_not_ruled_out(pairs, some), "pairs")
@@ -271,17 +264,27 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
             found = components(links)
-        open_buckets, turn = open_buckets.select("key", "band", "node"), turn + 1
+        open_buckets, turn = cut(placed.join(stands, "key", "left_semi").select("key", "band", "node"), "buckets"), turn + 1
         if n == 0 or 4 * n < before:
             break
         before = max(before, n)
-    placed = _with_component(open_buckets, found)
-    placed = placed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high").select("key", "band", "node", "component")
-    placed = cut(placed, "open-buckets")
+    placed, stands = _open(open_buckets, found, turn)
+    placed = cut(placed.join(stands, "key", "left_semi"), "open-buckets")
     fresh = cut(compare_blocks(placed.join(some.join(sets, "node"), "node"), percent), "links")
     return components(links.unionByName(fresh))
 
 
+def _open(buckets: DataFrame, found: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets (key, band, node) with their component, and for each key with several components the member that
+    stands for it in a turn. Keys are aggregated before they are shuffled, and both tables are written, so that a join of
+    them can be split where a key has very many members."""
+    placed = cut(_with_component(buckets, found), "placed")
+    order = F.struct(F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
+    chosen = F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("component").alias("component"))).alias("s")
+    stands = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), chosen)
+    return placed, cut(stands.where("low < high").select("key", "s"), "stands")
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
