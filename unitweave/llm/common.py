@@ -7,8 +7,6 @@ import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +19,7 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]"
 _own_folder: list[str] = []
 
 
-#: Bytes of an Arrow batch in this subpackage's own jobs: batches are held by the JVM and by a Python worker at once.
+#: Bytes of an Arrow batch: the JVM and a Python worker each hold some at once.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -43,22 +41,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs that begin inside exchange Arrow batches of at most BATCH_BYTES with Python workers; the session's setting comes back after."""
-    before = spark.conf.get(_BATCH_SETTING, None)
-    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_SETTING, before) if before else spark.conf.unset(_BATCH_SETTING)
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session exchange Arrow batches of at most BATCH_BYTES with Python workers, unless it has a setting of its own.
+
+    Frames that operators return run later, so the setting stays; it changes no result.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later jobs neither recompute it nor depend on executors."""
+    bound_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, label)
-    with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

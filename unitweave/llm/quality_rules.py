@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import Texts, mix, slices
+from unitweave.llm.common import Texts, bound_batches, mix, slices
 
 #: Labelled documents to fit on, at most: those first by a hash of doc_id.
 MAX_LABELLED = 4000
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 made = shares(Texts(batch.column(0))).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in made], pa.binary()), batch.column(1), batch.column(2)], names=["shares", "quality", "place"])
 
+    bound_batches(docs.sparkSession)
     rows = sorted(labelled.mapInArrow(features, "shares binary, quality int, place long").collect(), key=lambda r: r["place"])
     if not rows:
         return Model()
@@ -171,6 +172,7 @@ def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have no words and fail. Repeated rows are judged alike, each for itself. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

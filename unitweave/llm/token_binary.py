@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitweave.llm.common import cut, fresh_path, offsets_of, open_input, open_output, slices, small_batches, task_tag
+from unitweave.llm.common import bound_batches, cut, fresh_path, offsets_of, open_input, open_output, slices, task_tag
 
 END_ID = 2
 FILE_IDS = 1 << 21
@@ -226,8 +226,8 @@ def write_files(encoded: DataFrame, folder: str, by_rank: np.ndarray) -> None:
             yield flush()
 
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    with small_batches(encoded.sparkSession):
-        ordered.mapInArrow(write, _LIST).write.parquet(f"{folder}/{LIST}")
+    bound_batches(encoded.sparkSession)
+    ordered.mapInArrow(write, _LIST).write.parquet(f"{folder}/{LIST}")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

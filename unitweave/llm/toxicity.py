@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import Texts, cut, slices, small_batches
+from unitweave.llm.common import Texts, cut, slices
 
 #: Labelled documents to learn from, at most: those first by a hash of doc_id.
 MAX_LABELLED = 20_000
@@ -220,16 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     labelled = cut(texts.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic"), "labelled")
     model = Model(*log_odds(count_features(labelled), settings), settings.cost)
-    with small_batches(docs.sparkSession):
-        _calibrate(labelled, model)
+    _calibrate(labelled, model)
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole):
-                    nats, _, _ = _evidence_of(model, Texts(batch.column(0), letters=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(nats)], names=["toxic", "nats"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                nats, _, _ = _evidence_of(model, Texts(batch.column(0), letters=True))
+                yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(nats)], names=["toxic", "nats"])
 
-        rows = labelled.mapInArrow(scan, "toxic int, nats double").collect()
+    rows = labelled.mapInArrow(scan, "toxic int, nats double").collect()
     if rows:
         model.curve = _logistic(np.log1p([r["nats"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
     return model
