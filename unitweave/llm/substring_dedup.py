@@ -271,7 +271,8 @@ def _exchange(rows: DataFrame, window: int, length: int, below: int | None, part
             yield flush()
 
     blocks = rows.mapInArrow(send, _BLOCK)
-    answers = blocks.groupBy("part").applyInPandas(_answer(length == window), _ANSWER)
+    # A task for each part: hashing the few parts would put several into one task and none into another.
+    answers = blocks.repartitionById(parts, F.col("part").cast("int")).groupBy("part").applyInPandas(_answer(length == window), _ANSWER)
     facts = answers.groupBy("batch").applyInPandas(_gather(length == window), _FACT)
     return facts.groupBy("doc_key", "tag").agg(F.collect_list("found").alias("found"))
 
