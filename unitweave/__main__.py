@@ -31,7 +31,7 @@ def _parser() -> argparse.ArgumentParser:
 
     c = Config()
     stage("detect-language", "input", "output")
-    stage("tag-entities", "input", "output", max_rows=(int, None), batch_size=(int, c.batch_size), max_length=(int, c.max_tokens))
+    stage("tag-entities", "input", "output", max_rows=(int, None), max_length=(int, c.max_tokens))
     stage("attribute", "ner-jsonl", "raw-aff-institutions", "institution-names", "abbr-lookup", "detailed-output", "dedupe-output")
     stage(
         "canonicalise", "input", "output", "borderline-output", min_frequency=(int, 1), limit_institutions=(int, None), min_suffix_freq_in_inst=(int, 3), max_prefixed_ratio=(float, 0.25), max_full_freq=(int, 5),
@@ -54,7 +54,7 @@ def main(args: list[str] | None = None) -> None:
     if a.stage == "detect-language":
         files.write_csv(Pipeline().detect_language(read(a.input, schemas.COUNTED_STRING)), a.output)
     elif a.stage == "tag-entities":
-        files.write_entities(Pipeline(Config(max_rows=a.max_rows, batch_size=a.batch_size, max_tokens=a.max_length)).tag_entities(read(a.input, schemas.TAGGED_STRING)), a.output)
+        files.write_entities(Pipeline(Config(max_rows=a.max_rows, max_tokens=a.max_length)).tag_entities(read(a.input, schemas.TAGGED_STRING)), a.output)
     elif a.stage == "attribute":
         ner, _ = files.read_entities(spark, a.ner_jsonl, schemas.ENTITY_ROW)
         out = entities.attribute(ner, read(a.raw_aff_institutions, schemas.INSTITUTION_LIST), read(a.institution_names, schemas.INSTITUTION_NAME), read(a.abbr_lookup, schemas.ABBREVIATION))
@@ -63,13 +63,13 @@ def main(args: list[str] | None = None) -> None:
         files.write_csv(entities.dedupe_input(_detailed(spark, a.detailed_output)).withColumnRenamed("institution_id", "institution_ids").orderBy(F.col("institution_ids").cast("string"), F.col("frequency").desc()), a.dedupe_output, quote_all=True)
     elif a.stage == "canonicalise":
         ids = tuple(int(x) for some in a.institution_id for x in some.split(",") if x.strip())
+        if a.institution_id and not ids:
+            raise ValueError("--institution-id names no institution")
         config = Config(
             min_frequency=a.min_frequency, institution_ids=ids, limit_institutions=a.limit_institutions, min_suffix_frequency=a.min_suffix_freq_in_inst, max_prefixed_ratio=a.max_prefixed_ratio, max_full_frequency=a.max_full_freq,
             min_suffix_variant_frequency=a.min_suffix_variant_freq, min_prefix_variants=a.min_prefix_variants, min_core_group_frequency=a.min_core_group_freq, distance_threshold=a.distance_threshold, borderline_margin=a.borderline_margin, linkage=a.linkage,
         )
         names = read(a.input, schemas.DEDUPE_INPUT).withColumnRenamed("institution_ids", "institution_id")
-        if canonical.load_names(names, config).isEmpty():
-            raise ValueError("no rows are left to canonicalise")
         clusters, borderline = Pipeline(config).canonicalise(names, a.output_style == "detailed")
         files.write_csv(clusters, a.output)
         if a.borderline_output:
@@ -80,6 +80,7 @@ def main(args: list[str] | None = None) -> None:
         tree = hierarchy.build(read(a.input, schemas.CANONICAL), read(a.institution_names, schemas.INSTITUTION_NAME), Config(top_coverage=a.top_coverage))
         files.write_csv(hierarchy.check_one_parent(tree).orderBy("institution_id", "parent_name", "child_name"), a.output)
     else:
+        release.check_unique(read(a.institution_names, schemas.INSTITUTION_NAME), ["institution_id"], "institution names")
         strings = read(a.raw_aff_strings, schemas.TAGGED_STRING).select("raw_affiliation_string_id", "raw_affiliation_string")
         tables = release.release(read(a.canonical_dept, schemas.CANONICAL), read(a.hierarchy, schemas.HIERARCHY), read(a.institution_names, schemas.INSTITUTION_NAME), read(a.education_institutions, schemas.EDUCATION), strings)
         for name, table in release.check_release(tables).items():

@@ -1,7 +1,7 @@
 """Models as exchangeable parts, with deterministic defaults that need no model files.
 
 A provider turns a table into a table, so that one backed by a neural model can load it once for each Python worker with
-mapInPandas. The defaults are rules; results of neural models differ from theirs.
+mapInArrow. The defaults are rules; results of neural models differ from theirs.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitweave.functions import numeric as N
 from unitweave.functions import text as T
 from unitweave.functions import vocab
 
@@ -86,8 +87,43 @@ class RuleEntityTagger:
         return rows.withColumn("entities", _pieces(F.col("text"), ",", kind))
 
 
+class TokenModelTagger:
+    """Entities from a token classifier that each Python worker loads once.
+
+    load() gives a model; model(texts) gives for each text a list of tokens (start, end, mask, logits), and labels names
+    the logits in order. Scores are softmax shares; decoding is that of decode_tags().
+    """
+
+    _TOKENS = "array<struct<start:int,end:int,mask:int,logits:array<double>>>"
+
+    def __init__(self, load, labels: tuple[str, ...]):
+        self.load, self.labels = load, labels
+
+    def entities(self, rows: DataFrame) -> DataFrame:
+        from unitweave.operators.entities import decode_tags
+
+        load, at = self.load, rows.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = load()
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("mask", pa.int32()), ("logits", pa.list_(pa.float64()))]))
+            for batch in batches:
+                found = model([x or "" for x in batch.column(at).to_pylist()])
+                told = [[{"start": s, "end": e, "mask": m, "logits": [float(x) for x in logits]} for s, e, m, logits in tokens] for tokens in found]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, kind)], names=[*batch.schema.names, "tokens"])
+
+        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", tokens {self._TOKENS}"
+        names = F.array(*[F.lit(x) for x in self.labels])
+
+        def tagged(t):
+            best = N.softmax_best(t["logits"])
+            return F.struct(F.get(names, best["index"]).alias("label"), best["score"].alias("score"), t["start"].alias("start"), t["end"].alias("end"), t["mask"].alias("mask"))
+
+        return rows.mapInArrow(run, schema).withColumn("entities", decode_tags(F.transform("tokens", tagged), F.coalesce("text", F.lit("")))).drop("tokens")
+
+
 class HashEmbedder:
-    """Counts of hashed character trigrams, of length 1; computed in Arrow batches."""
+    """Counts of hashed character trigrams, of length 1; computed for a whole Arrow batch at once."""
 
     def __init__(self, size: int = 256):
         self.size = size
@@ -95,17 +131,17 @@ class HashEmbedder:
     def embed(self, names: DataFrame) -> DataFrame:
         size = self.size
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import zlib
-
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for name in batch["name"]:
-                    v = np.zeros(size, np.float32)
-                    padded = f"  {name} "
-                    for i in range(len(padded) - 2):
-                        v[zlib.crc32(padded[i : i + 3].encode()) % size] += 1
-                    rows.append((v / (np.linalg.norm(v) or 1)).tolist())
-                yield pd.DataFrame({"name": batch["name"], "embedding": rows})
-
-        return names.select("name").distinct().mapInPandas(run, "name string, embedding array<float>")
+                told = [f"  {x or ''} " for x in batch.column(0).to_pylist()]
+                points = np.frombuffer("".join(told).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                row = np.repeat(np.arange(len(told)), [len(x) for x in told])
+                three = np.flatnonzero(row[2:] == row[:-2])
+                hashed = (points[three] * np.uint64(0x9E3779B97F4A7C15) + points[three + 1]) * np.uint64(0xC2B2AE3D27D4EB4F) + points[three + 2]
+                hashed = (hashed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+                counts = np.bincount(row[three] * size + (hashed % np.uint64(size)).astype(np.int64), minlength=len(told) * size).reshape(-1, size).astype(np.float32)
+                counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(told) + 1, dtype=np.int32) * size), pa.array(counts.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["name", "embedding"])
+
+        return names.select("name").distinct().mapInArrow(run, "name string, embedding array<float>")

@@ -19,6 +19,11 @@ def _one_of(words: tuple[str, ...]) -> str:
     return "|".join(words)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, _WS + "+", " "))
@@ -46,8 +51,7 @@ def clean_department(text: Column, blank_amp: bool = True) -> Column:
         out = F.replace(out, F.lit("amp"), F.lit(" "))
     out = F.regexp_replace(collapse(out), f"^(?:(?:{stop})(?: |$))+", "")
     out = F.regexp_replace(out, f"(?:(?:^| )(?:{stop}))+$", "")
-    typed = out.rlike(_one_of(vocab.TYPE_WORDS))
-    return F.when(typed, F.trim(F.regexp_replace(out, r"(?U)^\d+[\s\x1c-\x1f]*", ""))).otherwise(F.lit(""))
+    return _once(out, lambda x: F.when(x.rlike(_one_of(vocab.TYPE_WORDS)), F.trim(F.regexp_replace(x, r"(?U)^\d+[\s\x1c-\x1f]*", ""))).otherwise(F.lit("")))
 
 
 def is_abbreviation(text: Column) -> Column:
@@ -109,12 +113,29 @@ def clamped_slice(text: Column, start: Column, end: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """Default language tag: script first, then the language with most function words (ties in the listed order), else UNKNOWN."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    counted = lambda some: F.size(F.filter(words, lambda w: w.isin(*some))).alias("n")
-    counts = [counted(some) for some in vocab.FUNCTION_WORDS.values()]
-    best = F.array_max(F.array(*[F.struct(n, F.lit(-i).alias("place"), F.lit(name).alias("language")) for i, (n, name) in enumerate(zip(counts, vocab.FUNCTION_WORDS))]))
+    """Default language tag: script first, then the language with most function words (ties in the listed order), else UNKNOWN.
+
+    One pass finds the function words of all languages, a second counts them by language.
+    """
+    known = _one_of(tuple(w for some in vocab.FUNCTION_WORDS.values() for w in some))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!\p{{L}})(?:{known})(?!\p{{L}})"), F.lit(0))
+    names = list(vocab.FUNCTION_WORDS)
+    more = lambda n, w: F.struct(*[(n[x] + w.isin(*vocab.FUNCTION_WORDS[x]).cast("int")).alias(x) for x in names])
+
+    def most(n: Column) -> Column:
+        best = F.greatest(*[n[x] for x in names])
+        out = F.when(best == 0, "UNKNOWN")
+        for x in names:
+            out = out.when(n[x] == best, x)
+        return out
+
+    counted = F.aggregate(found, F.struct(*[F.lit(0).alias(x) for x in names]), more, most)
     return (
         F.when(text.rlike(r"[\x{3040}-\x{30ff}]"), "JAPANESE").when(text.rlike(r"[\x{4e00}-\x{9fff}]"), "CHINESE").when(text.rlike(r"[\x{0400}-\x{04ff}]"), "RUSSIAN")
-        .otherwise(F.when(best["n"] > 0, best["language"]).otherwise("UNKNOWN"))
+        .otherwise(counted)
     )
+
+
+def first_words(text: Column, most: int) -> Column:
+    """At most so many words from the front, as a model with bounded input sees a text."""
+    return F.regexp_extract(text, rf"^\s*(?:\S+\s*){{0,{most}}}", 0)

@@ -14,6 +14,14 @@ from unitweave.functions import numeric as N
 from unitweave.functions import text as T
 from unitweave.functions.kernels import cluster
 from unitweave.plans.config import Config
+from unitweave.sources.stages import stage_table
+
+
+def check_names(rows: DataFrame, config: Config = Config()) -> DataFrame:
+    """The rows of load_names(), or an error where a choice of institutions or the filters leave nothing."""
+    if rows.isEmpty():
+        raise ValueError("no rows of the chosen institutions are left" if config.institution_ids else "no rows are left to canonicalise")
+    return rows
 
 
 def load_names(rows: DataFrame, config: Config = Config()) -> DataFrame:
@@ -29,14 +37,18 @@ def load_names(rows: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def strip_person_prefixes(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """A rare name with a person-like prefix becomes its suffix, where the suffix is frequent enough in the institution."""
-    split = T.split_prefix(F.col("name"), most=config.prefix_words)
-    out = rows.withColumn("s", split).withColumn("suffix", F.col("s.suffix"))
-    suffix_sum = F.when(F.col("suffix") != "", F.sum("frequency").over(Window.partitionBy("institution_id", "suffix"))).otherwise(F.lit(0))
-    out = out.withColumns({"suffix_sum": suffix_sum, "full_sum": F.sum("frequency").over(Window.partitionBy("institution_id", "name"))})
+    """A rare name with a person-like prefix becomes its suffix, where the suffix is frequent enough in the institution.
+
+    Names are summed before they are split and joined, and only those with a suffix take part, so names without one, the
+    most, meet in no task.
+    """
+    names = records(rows).withColumn("s", T.split_prefix(F.col("name"), most=config.prefix_words)).where("s.suffix != ''")
+    names = names.select("institution_id", "name", F.col("frequency").alias("full_sum"), F.col("s.suffix").alias("suffix"), F.col("s.valid").alias("valid"))
+    sums = names.groupBy("institution_id", "suffix").agg(F.sum("full_sum").alias("suffix_sum"))
     share = F.when(F.col("suffix_sum") > 0, N.ratio(F.col("full_sum"), F.col("suffix_sum"))).otherwise(F.lit(float("inf")))
-    rare = F.col("s.valid") & (F.col("suffix") != "") & (F.col("suffix_sum") >= config.min_suffix_frequency) & (share <= config.max_prefixed_ratio) & (F.col("full_sum") <= config.max_full_frequency)
-    return out.withColumn("name", F.when(rare, F.col("suffix")).otherwise(F.col("name"))).select(*rows.columns)
+    rare = (F.col("suffix_sum") >= config.min_suffix_frequency) & (share <= config.max_prefixed_ratio) & (F.col("full_sum") <= config.max_full_frequency)
+    renamed = names.where("valid").join(sums, ["institution_id", "suffix"]).where(rare).select("institution_id", "name", F.col("suffix").alias("new_name"))
+    return rows.join(renamed, ["institution_id", "name"], "left").withColumn("name", F.coalesce("new_name", "name")).select(*rows.columns)
 
 
 def _best_name() -> Column:
@@ -45,7 +57,9 @@ def _best_name() -> Column:
 
 
 def _rename_groups(rows: DataFrame, keyed: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    named = keyed.join(groups.select("institution_id", key, "best"), ["institution_id", key], "left")
+    # Rows without a key look for their own name behind a mark that no key has, so that they spread over the tasks.
+    spread = keyed.withColumn("group_key", F.coalesce(key, F.concat(F.lit("\0"), "name")))
+    named = spread.join(groups.select("institution_id", F.col(key).alias("group_key"), "best"), ["institution_id", "group_key"], "left")
     return named.withColumn("name", F.coalesce("best", "name")).select(*rows.columns)
 
 
@@ -99,9 +113,10 @@ def cluster_records(vectors: DataFrame, threshold: float = 0.15, linkage: str =
 def borderline_pairs(vectors: DataFrame, clusters: DataFrame, threshold: float = 0.15, margin: float = 0.05) -> DataFrame:
     """Pairs of an institution in different clusters whose similarity lies just below the merge similarity; none for margin 0."""
     merge = 1.0 - threshold
-    a = vectors.join(clusters, ["institution_id", "name"]).select("institution_id", F.col("name").alias("dept_a"), F.col("embedding").alias("ea"), F.col("cluster").alias("ca"))
+    a = vectors.join(clusters, ["institution_id", "name"]).select("institution_id", F.col("name").alias("dept_a"), N.unit(F.col("embedding")).alias("ea"), F.col("cluster").alias("ca"))
+    a = stage_table(a, "unit-vectors")  # lengths are taken once, not for each pair
     b = a.select("institution_id", F.col("dept_a").alias("dept_b"), F.col("ea").alias("eb"), F.col("ca").alias("cb"))
-    pairs = a.join(b, "institution_id").where("dept_a < dept_b and ca != cb").withColumn("similarity", N.cosine(F.col("ea"), F.col("eb")))
+    pairs = a.join(b, "institution_id").where("dept_a < dept_b and ca != cb").withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), N.dot(F.col("ea"), F.col("eb")))))
     inside = (F.col("similarity") >= max(0.0, merge - margin)) & (F.col("similarity") < merge) & F.lit(margin > 0)
     return pairs.where(inside).select("institution_id", "dept_a", "dept_b", F.round("similarity", 4).alias("similarity"))
 

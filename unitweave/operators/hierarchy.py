@@ -116,7 +116,7 @@ def complete_roots(forest: DataFrame, rows: DataFrame, institutions: DataFrame)
 
     Names are in lower case; an institution without a name keeps its root mark as parent of chosen edges, and null otherwise.
     """
-    names = institutions.select(INST, "institution_name").dropDuplicates([INST])
+    names = institutions.groupBy(INST).agg(F.min("institution_name").alias("institution_name"))
     units = rows.select(INST, "canonical_dept_name").distinct()
     children = forest.select(INST, F.col("child_dept").alias("canonical_dept_name")).distinct()
     missing = units.join(children, [INST, "canonical_dept_name"], "left_anti")

@@ -71,6 +71,14 @@ def used_strings(mappings: DataFrame, strings: DataFrame) -> DataFrame:
     return strings.join(ids, "raw_affiliation_string_id", "left_semi").groupBy("raw_affiliation_string_id").agg(F.min("raw_affiliation_string").alias("raw_affiliation_string"))
 
 
+def check_unique(rows: DataFrame, columns: list[str], what: str) -> DataFrame:
+    """The rows, or an error where a key that look-ups rely on occurs twice."""
+    twice = rows.groupBy(*columns).count().where("count > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"{what} has {columns} twice")
+    return rows
+
+
 def check_release(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables, or an error where an id leads nowhere."""
     missing = tables["mappings"].join(tables["raw_affiliation_strings"], "raw_affiliation_string_id", "left_anti")
@@ -79,4 +87,6 @@ def check_release(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for table, column in (("mappings", "sub_institution_id"), ("hierarchy", "child_sub_institution_id")):
         if not tables[table].where(F.col(column).isNull()).isEmpty():
             raise ValueError(f"{table} has rows without {column}")
+    check_unique(tables["sub_institutions"], [INST, "canonical_name"], "sub_institutions")
+    check_unique(tables["institutions"], [INST], "institutions")
     return tables

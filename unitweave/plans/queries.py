@@ -19,7 +19,8 @@ from unitweave.functions.kernels import token_sort_ratio
 from unitweave.operators import canonical, entities, extract, hierarchy, release
 from unitweave.plans.config import Config
 from unitweave.plans.pipeline import Pipeline
-from unitweave.sources.stages import stage_table
+from unitweave.sources import files, schemas
+from unitweave.sources.stages import stage_path, stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +38,7 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -68,6 +69,71 @@ def raw_string_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.raw_string_counts(*work_tables(spark, sf_dir))
 
 
+@query("SELECT n_regionkey, count(*) AS n, string_agg(n_nationkey::VARCHAR, ';' ORDER BY n_nationkey) AS in_order FROM nation GROUP BY 1")
+def sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in order of its ids, numbered as read back from its files."""
+    rows = extract.by_id(table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey"))
+    back = exported(spark, rows.coalesce(1), "n_nationkey int, n_regionkey int", one_file=True).withColumn("place", F.monotonically_increasing_id())
+    listed = F.array_sort(F.collect_list(F.struct("place", "n_nationkey")))
+    return back.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda x: x["n_nationkey"].cast("string")), ";").alias("in_order"))
+
+
+# ---- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+def exported(spark: SparkSession, rows: DataFrame, schema: str, columns: list[str] | None = None, **how) -> DataFrame:
+    """rows, written as CSV and read back."""
+    path = stage_path(spark, "csv")
+    files.write_csv(rows, path, **how)
+    return files.read_csv(spark, path, schema, columns)
+
+
+@query("SELECT doc_id, text, lang, nullif(source, '') AS source FROM documents")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with quotes, commas and line ends through a CSV sink and scan."""
+    return exported(spark, table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id bigint, text string, lang string, source string")
+
+
+@query("SELECT c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def csv_pruned_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed columns of a file with all cells quoted and nulls as empty cells; only two of them are read."""
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment").withColumn("c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")))
+    return exported(spark, rows, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string", ["c_name", "c_acctbal"], quote_all=True)
+
+
+@query("SELECT event_id AS raw_affiliation_string_id, user_id AS institution_count, CASE WHEN event_id % 4 = 0 THEN 1 ELSE user_id END AS frequency, event_type AS word FROM events WHERE event_id % 5 <> 0")
+def jsonl_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity rows through JSON lines: those without entities are not written, a missing frequency is 1."""
+    some = F.array(F.struct(F.lit("SUB").alias("entity_group"), F.col("event_type").alias("word"), F.lit(0).alias("start"), F.length("event_type").alias("end")))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("raw_affiliation_string_id"), F.col("user_id").alias("institution_count"), F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("frequency"), F.when(F.col("event_id") % 5 != 0, some).otherwise(F.slice(some, 1, 0)).alias("entities"))
+    path = stage_path(spark, "jsonl")
+    files.write_entities(rows, path)
+    return files.read_entities(spark, path, schemas.ENTITY_ROW)[0].select("raw_affiliation_string_id", "institution_count", "frequency", F.explode("entities.word").alias("word"))
+
+
+@query("SELECT count(*) FILTER (user_id % 7 = 0) AS broken_lines, count(*) AS lines, count(*) FILTER (user_id % 7 <> 0) AS with_id FROM events")
+def jsonl_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no JSON are counted and skipped."""
+    line = F.when(F.col("user_id") % 7 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"raw_affiliation_string_id": '), F.col("event_id").cast("string"), F.lit(', "entities": []}')))
+    path = stage_path(spark, "lines")
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    return files.read_entities(spark, path, schemas.ENTITY_ROW)[1]
+
+
+@query("WITH t AS (SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 150) SELECT doc_id FROM t WHERE lang = 'en'")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row limit of a smoke run, which comes before the language filter."""
+    rows = table(spark, sf_dir, "documents", "doc_id", F.col("lang").alias("language"))
+    return entities.keep_language(entities.first_rows(rows, 150, "doc_id"), "en").select("doc_id")
+
+
+@query("SELECT v.vec_id, list_position(e, list_max(e)) - 1 AS index, round(1.0e0 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 9) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v")
+def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stand for a token's logits."""
+    best = N.softmax_best(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", best["index"].alias("index"), F.round(best["score"], 9).alias("score"))
+
+
 @query(f"WITH {WORK_SQL}, p AS (SELECT DISTINCT raw_affiliation_string_id, institution_id FROM wa JOIN wai USING (work_id, affiliation_seq) WHERE raw_affiliation_string_id IS NOT NULL) SELECT raw_affiliation_string_id, count(institution_id) AS institution_count, string_agg(institution_id::VARCHAR, ';' ORDER BY institution_id) AS institution_ids_str FROM p GROUP BY 1")
 def ordered_distinct_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     affiliations, links, _ = work_tables(spark, sf_dir)
@@ -159,16 +225,8 @@ def is_abbreviation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FOLD_SQL = r"folded AS (SELECT id, trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(lower(strip_accents(raw)), '[^\x00-\x7f]', '', 'g'), '&', ' and '), '.', ' '), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS folded FROM raw_names)"
-LINES_SQL = "raw_names AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS raw FROM documents)"
-
-
-@query(f"WITH {LINES_SQL}, {FOLD_SQL} SELECT id, folded FROM folded")
-def fold_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.fold_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
-
-
 @query(f"WITH raw_names AS (SELECT doc_id AS id, text AS raw FROM documents), {FOLD_SQL} SELECT id, folded FROM folded")
-def fold_name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fold_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.fold_name(F.col("text")).alias("folded"))
 
 
@@ -225,6 +283,19 @@ def load_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("institution_id", "name", "frequency")
 
 
+@query(f"WITH {NAMES_SQL}, few AS (SELECT institution_id FROM (SELECT DISTINCT institution_id FROM names WHERE institution_id IN (1, 2, 3, 11)) ORDER BY institution_id::VARCHAR LIMIT 3) SELECT institution_id, name, frequency FROM names JOIN few USING (institution_id) WHERE frequency >= 40")
+def chosen_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice of institutions, its limit and the least frequency."""
+    config = Config(institution_ids=(1, 2, 3, 11), limit_institutions=3, min_frequency=40)
+    return canonical.check_names(canonical.load_names(names(spark, sf_dir), config), config).select("institution_id", "name", "frequency")
+
+
+@query(f"WITH {NAMES_SQL} SELECT institution_id, left(name, 9) AS name, sum(frequency)::BIGINT AS frequency FROM names GROUP BY 1, 2")
+def normalised_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by a name that several raw names share."""
+    return canonical.records(names(spark, sf_dir).withColumn("name", F.substring("name", 1, 9)))
+
+
 @query(f"""WITH {NAMES_SQL}, {split_sql('names', 'name', 3, '*')}, f AS (SELECT *, CASE WHEN suffix <> '' THEN sum(frequency) OVER (PARTITION BY institution_id, suffix) ELSE 0 END AS s, sum(frequency) OVER (PARTITION BY institution_id, name) AS t FROM parted)
 SELECT institution_id, name AS clean_dept_str, CASE WHEN valid AND suffix <> '' AND s >= 3 AND t::DOUBLE / s <= 0.2 THEN suffix ELSE name END AS name, frequency FROM f""")
 def person_prefix_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +374,18 @@ def agglomerative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.cluster_records(vectors(spark, sf_dir), 0.75, "average")
 
 
-@query()
+def ratio_sql(pairs: str) -> str:
+    """CTEs that add score to pairs (a, b, ...): the token sort ratio, by rows of the table of common subsequences; the last is called rated."""
+    return f"""
+    sorted_pairs AS (SELECT *, array_to_string(list_sort(regexp_extract_all(a, '[^ ]+')), ' ') AS x, array_to_string(list_sort(regexp_extract_all(b, '[^ ]+')), ' ') AS y FROM {pairs}),
+    hits AS (SELECT *, list_concat([list_transform(range(length(y)), lambda i: 0)], list_transform(regexp_extract_all(x, '.'), lambda c: list_transform(regexp_extract_all(y, '.'), lambda d: (c = d)::INT))) AS h FROM sorted_pairs),
+    rated AS (SELECT * EXCLUDE (h), 200.0e0 * coalesce(list_reduce(h, lambda before, hit: list_transform(range(1, len(hit) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(before[k], coalesce(before[k - 1], 0) + hit[k])))))[-1], 0) / (length(x) + length(y)) AS score FROM hits)
+    """
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p_brand, p_name FROM part), pairs AS (SELECT DISTINCT m.p_name AS a, n.p_name AS b FROM p m JOIN p n ON m.p_brand = n.p_brand AND m.p_name <> n.p_name), {ratio_sql('pairs')},
+f AS (SELECT m.p_brand, m.p_name, n.p_name AS other, r.score, row_number() OVER (PARTITION BY m.p_brand, m.p_name ORDER BY r.score DESC, n.p_name DESC) AS k FROM p m JOIN p n ON m.p_brand = n.p_brand JOIN rated r ON r.a = m.p_name AND r.b = n.p_name)
+SELECT p_brand, p_name, other, score FROM f WHERE k = 1 AND score >= 75""")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part name against the distinct part names of its brand, best match other than itself."""
     parts = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
@@ -340,9 +422,8 @@ cover AS (SELECT institution_id, canonical_dept_name FROM (SELECT *, coalesce(su
 kept AS (SELECT base.* FROM base JOIN cover USING (institution_id, canonical_dept_name))"""
 
 
-def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base(spark, sf_dir)
-    rows = stage_table(rows, "base")
+def covered(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = rows or stage_table(base(spark, sf_dir), "base")
     return stage_table(rows.join(hierarchy.top_coverage(rows), ["institution_id", "canonical_dept_name"], "left_semi"), "covered")
 
 
@@ -409,20 +490,36 @@ def topk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("institution_id", "parent_dept", "child_dept", F.row_number().over(w).cast("long").alias("k"))
 
 
-@query()
+#: Edges in order of preference, one a step for each institution; above holds every pair of a unit and one below it.
+FOREST_SQL = f"""{SCORES.replace('WITH', 'WITH RECURSIVE', 1)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY direction_score DESC, parent_dept, child_dept) AS place FROM topk),
+walk AS (SELECT institution_id, 0::BIGINT AS place, false AS taken, []::STRUCT(up VARCHAR, down VARCHAR)[] AS above FROM (SELECT DISTINCT institution_id FROM ranked)
+  UNION ALL SELECT institution_id, place, taken, CASE WHEN taken THEN list_concat(above, flatten(list_transform(list_append(list_transform(list_filter(above, lambda x: x.down = parent_dept), lambda x: x.up), parent_dept),
+    lambda u: list_transform(list_append(list_transform(list_filter(above, lambda x: x.up = child_dept), lambda x: x.down), child_dept), lambda d: {{'up': u, 'down': d}})))) ELSE above END
+  FROM (SELECT r.*, above, parent_dept <> child_dept AND len(list_filter(above, lambda x: x.down = child_dept)) = 0 AND NOT list_contains(above, {{'up': child_dept, 'down': parent_dept}}) AS taken
+    FROM walk w JOIN ranked r ON r.institution_id = w.institution_id AND r.place = w.place + 1)),
+forest AS (SELECT r.institution_id, parent_dept, child_dept, direction_score FROM ranked r JOIN walk w ON r.institution_id = w.institution_id AND r.place = w.place WHERE taken)"""
+
+
+@query(f"{FOREST_SQL} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) AS direction_score FROM forest")
 def parent_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.parent_forest(hierarchy.top_parents(hierarchy.keep_strong(edges(spark, sf_dir))))
+    return forest(spark, sf_dir, covered(spark, sf_dir)).withColumn("direction_score", F.round("direction_score", 6))
 
 
-TREE_SQL = f"""{SCORES}, best AS (SELECT * FROM topk WHERE k = 1),
-tree AS (SELECT best.institution_id, lower(institution_name) AS institution_name, lower(CASE WHEN starts_with(parent_dept, '__INST__') THEN coalesce(institution_name, parent_dept) ELSE parent_dept END) AS parent_name, lower(child_dept) AS child_name FROM best LEFT JOIN inst USING (institution_id)
-  UNION SELECT u.institution_id, lower(institution_name), lower(institution_name), lower(canonical_dept_name) FROM (SELECT DISTINCT institution_id, canonical_dept_name FROM kept) u LEFT JOIN inst USING (institution_id) WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.institution_id = u.institution_id AND best.child_dept = u.canonical_dept_name))"""
+TREE_SQL = f"""{FOREST_SQL},
+tree AS (SELECT forest.institution_id, lower(institution_name) AS institution_name, lower(CASE WHEN starts_with(parent_dept, '__INST__') THEN coalesce(institution_name, parent_dept) ELSE parent_dept END) AS parent_name, lower(child_dept) AS child_name FROM forest LEFT JOIN inst USING (institution_id)
+  UNION SELECT u.institution_id, lower(institution_name), lower(institution_name), lower(canonical_dept_name) FROM (SELECT DISTINCT institution_id, canonical_dept_name FROM kept) u LEFT JOIN inst USING (institution_id) WHERE NOT EXISTS (SELECT 1 FROM forest WHERE forest.institution_id = u.institution_id AND forest.child_dept = u.canonical_dept_name))"""
 
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each unit under its best parent: what SQL can say without the acyclic choice."""
-    best = hierarchy.top_parents(hierarchy.keep_strong(edges(spark, sf_dir)), 1)
-    return stage_table(hierarchy.complete_roots(stage_table(best, "best"), covered(spark, sf_dir), institutions(spark, sf_dir)), "tree")
+def forest(spark: SparkSession, sf_dir: str, kept: DataFrame) -> DataFrame:
+    scored = stage_table(hierarchy.score_edges(hierarchy.record_positions(kept)), "edges")
+    return hierarchy.parent_forest(hierarchy.top_parents(hierarchy.keep_strong(scored)))
+
+
+def tree(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Each unit under its parent in the forest, or under its institution. rows: base(), where it is at hand."""
+    kept = covered(spark, sf_dir, rows)
+    return stage_table(hierarchy.complete_roots(stage_table(forest(spark, sf_dir, kept), "forest"), kept, institutions(spark, sf_dir)), "tree")
 
 
 @query(f"{TREE_SQL} SELECT institution_id, institution_name, parent_name, child_name FROM tree")
@@ -430,30 +527,20 @@ def root_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(spark, sf_dir)
 
 
-@query()
+@query(f"{TREE_SQL} SELECT institution_id, institution_name, parent_name, child_name FROM tree")
 def hierarchy_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.build(base(spark, sf_dir), institutions(spark, sf_dir))
 
 
-@query(f"WITH n AS (SELECT DISTINCT (['faculty of ', 'school of ', 'department of ', 'centre for ', ''])[substr(p_brand, 7)::INT % 5 + 1] || lower(p_brand) AS name FROM part UNION SELECT '__INST__1'), r AS (SELECT name, {_RANK} AS rank FROM n) SELECT a.name AS parent, b.name AS child, coalesce(a.rank, -1) AS parent_rank, coalesce(b.rank, -1) AS child_rank, CASE WHEN a.rank > 0 AND b.rank > 0 THEN greatest(-0.25e0, least(0.25e0, (b.rank - a.rank) / 4.0e0)) ELSE 0.0e0 END AS bonus, round(-0.15e0 * greatest((CASE WHEN b.rank > 0 THEN b.rank ELSE 5 END) - (CASE WHEN a.rank > 0 THEN a.rank ELSE 5 END) - 1, 0), 6) + 0.0e0 AS penalty FROM r a JOIN r b ON a.name <> b.name AND right(a.name, 1) = right(b.name, 1)")
-def lexical_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = F.array(*[F.lit(x) for x in ("faculty of ", "school of ", "department of ", "centre for ", "")])
-    name = F.concat(F.get(ranks, F.substring("p_brand", 7, 9).cast("int") % 5), F.lower("p_brand")).alias("name")
-    n = table(spark, sf_dir, "part").select(name).distinct().unionByName(spark.range(1).select(F.lit("__INST__1").alias("name")))
-    r = n.withColumn("rank", N.lexical_rank(F.col("name"))).withColumn("last", F.right("name", F.lit(1)))
-    both = r.toDF("parent", "parent_rank", "last").join(r.toDF("child", "child_rank", "last"), "last").where("parent != child")
-    told = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("parent_rank", "child_rank")]
-    return both.select("parent", "child", *told, N.lexical_bonus(F.col("parent_rank"), F.col("child_rank")).alias("bonus"), F.round(N.gap_penalty(F.col("parent_rank"), F.col("child_rank")), 6).alias("penalty"))
-
-
 @query(f"WITH n AS (SELECT DISTINCT (['faculty of ', 'school of ', 'department of ', 'centre for ', ''])[substr(p_brand, 7)::INT % 5 + 1] || lower(p_brand) AS name FROM part UNION SELECT '__INST__1'), r AS (SELECT name, {_RANK} AS rank FROM n) SELECT a.name AS parent, b.name AS child, coalesce(a.rank, -1) AS parent_rank, coalesce(b.rank, -1) AS child_rank, CASE WHEN a.rank > 0 AND b.rank > 0 THEN greatest(-0.25e0, least(0.25e0, (b.rank - a.rank) / 4.0e0)) ELSE 0.0e0 END AS bonus, round(-0.15e0 * greatest((CASE WHEN b.rank > 0 THEN b.rank ELSE 5 END) - (CASE WHEN a.rank > 0 THEN a.rank ELSE 5 END) - 1, 0), 6) + 0.0e0 AS penalty FROM r a JOIN r b ON a.name <> b.name")
-def lexical_signals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the distinct names, of which there are as many as brands."""
+def lexical_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the distinct names, of which there are as many as brands: each name explodes the list of them."""
     ranks = F.array(*[F.lit(x) for x in ("faculty of ", "school of ", "department of ", "centre for ", "")])
     name = F.concat(F.get(ranks, F.substring("p_brand", 7, 9).cast("int") % 5), F.lower("p_brand")).alias("name")
     n = table(spark, sf_dir, "part").select(name).distinct().unionByName(spark.range(1).select(F.lit("__INST__1").alias("name")))
-    r = n.withColumn("rank", N.lexical_rank(F.col("name")))
-    both = r.toDF("parent", "parent_rank").crossJoin(r.toDF("child", "child_rank")).where("parent != child")
+    r = n.select(F.col("name").alias("parent"), N.lexical_rank(F.col("name")).alias("parent_rank"))
+    listed = F.collect_list(F.struct(F.col("parent").alias("child"), F.col("parent_rank").alias("child_rank"))).over(Window.partitionBy())
+    both = r.withColumn("all", listed).select("parent", "parent_rank", F.inline("all")).where("parent != child")
     told = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("parent_rank", "child_rank")]
     return both.select("parent", "child", *told, N.lexical_bonus(F.col("parent_rank"), F.col("child_rank")).alias("bonus"), F.round(N.gap_penalty(F.col("parent_rank"), F.col("child_rank")), 6).alias("penalty"))
 
@@ -526,16 +613,8 @@ def attribution_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides(spark, sf_dir).select("event_id", found.alias("matched"))
 
 
-@query("WITH s AS (SELECT conv_id, turn, trim(left(text, 20)) AS word, length(text) AS n, turn / 10.0e0 AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, score DESC, turn) AS k FROM s WHERE word <> '') SELECT conv_id, k - 1 AS place, word FROM r WHERE k <= greatest(1, conv_id % 4)")
-def span_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = F.struct(F.lit("SPAN").alias("entity_group"), F.lit(0).alias("start"), F.length("text").alias("end"), F.substring("text", 1, 20).alias("word"), (F.col("turn") / 10.0).alias("score"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", span.alias("s")))).alias("l"))
-    chosen = entities.choose_spans(F.transform("l", lambda x: x["s"]), F.col("conv_id") % 4)
-    return rows.select("conv_id", F.posexplode(chosen).alias("place", "word")).withColumn("place", F.col("place").cast("long"))
-
-
 @query("WITH s AS (SELECT conv_id, turn, trim(text) AS word, length(text) AS n, turn / 10.0e0 AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, score DESC, turn) AS k FROM s WHERE word <> '') SELECT conv_id, k - 1 AS place, word FROM r WHERE k <= greatest(1, conv_id % 4)")
-def span_topk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def span_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.struct(F.lit("SPAN").alias("entity_group"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("word"), (F.col("turn") / 10.0).alias("score"))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", span.alias("s")))).alias("l"))
     chosen = entities.choose_spans(F.transform("l", lambda x: x["s"]), F.col("conv_id") % 4)
@@ -603,10 +682,11 @@ subs AS (SELECT row_number() OVER (ORDER BY institution_id, canonical_name) AS s
 
 
 def released(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rows = base(spark, sf_dir).withColumn("raw_dept_str", F.upper("canonical_dept_name"))
+    plain = stage_table(base(spark, sf_dir), "base")
+    rows = plain.withColumn("raw_dept_str", F.upper("canonical_dept_name"))
     named = institutions(spark, sf_dir)
     strings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("raw_affiliation_string_id"), F.col("o_orderpriority").alias("raw_affiliation_string"))
-    return release.release(rows, tree(spark, sf_dir), named, named.where("institution_type_id in (0, 1, 3)").select("institution_id"), strings)
+    return release.release(rows, tree(spark, sf_dir, plain), named, named.where("institution_type_id in (0, 1, 3)").select("institution_id"), strings)
 
 
 @query(f"{RELEASE_SQL} SELECT sub_institution_id, institution_id, canonical_name FROM subs")
@@ -638,7 +718,8 @@ def raw_string_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_join_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = institutions(spark, sf_dir)
     education = named.where("institution_type_id in (0, 1, 3)").select("institution_id")
-    rows, links = base(spark, sf_dir).join(education, "institution_id", "left_semi"), tree(spark, sf_dir).join(education, "institution_id", "left_semi")
+    plain = stage_table(base(spark, sf_dir), "base")
+    rows, links = plain.join(education, "institution_id", "left_semi"), tree(spark, sf_dir, plain).join(education, "institution_id", "left_semi")
     valid = links.select("institution_id", F.col("parent_name").alias("canonical_dept_name")).union(links.select("institution_id", "child_name")).distinct()
     kept, _ = release.drop_root_like(rows.join(valid, ["institution_id", "canonical_dept_name"], "left_semi").select(*rows.columns), links, named)
     return kept.groupBy("institution_id", "canonical_dept_name").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -650,8 +731,8 @@ def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     text = F.concat(F.lit("Department of "), F.col("p_name"), F.lit(", School of "), F.lower("p_type"), F.lit(", University of "), F.lower("p_brand"), F.lit(" the of and in"))
     strings = part.select(F.col("p_partkey").alias("raw_affiliation_string_id"), text.alias("raw_affiliation_string"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.col("l_linenumber").alias("affiliation_seq"), F.col("l_partkey").alias("raw_affiliation_string_id"), (F.col("l_suppkey") % 5).alias("institution_id"))
-    named = supplier.where("s_suppkey < 5").select(F.col("s_suppkey").alias("institution_id"), F.concat(F.lit("University of Brand#"), F.col("s_suppkey").cast("string")).alias("institution_name"), F.lit(3).alias("institution_type_id"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.col("l_linenumber").alias("affiliation_seq"), F.col("l_partkey").alias("raw_affiliation_string_id"), F.col("l_suppkey").alias("institution_id"))
+    named = supplier.select(F.col("s_suppkey").alias("institution_id"), F.concat(F.lit("University of Brand#"), F.col("s_suppkey").cast("string")).alias("institution_name"), F.lit(3).alias("institution_type_id"))
     tables = {"work_affiliation": lines.drop("institution_id"), "work_affiliation_institution": lines.drop("raw_affiliation_string_id"), "raw_affiliation_string": strings, "institution": named, "abbreviations": spark.createDataFrame([("dept", "department")], "abbr_name string, full_name string")}
     out = Pipeline().run(tables)
     subs = out["sub_institutions"]
