@@ -24,8 +24,8 @@ from unitweave.llm.common import bound_batches, cut, fresh_path, offsets_of, ope
 
 END_ID = 2
 FILE_IDS = 1 << 21
-#: Entries of a worker's memory of encoded stretches; it starts anew when full.
-REMEMBERED = 1_000_000
+#: Entries of a task's memory of encoded stretches; it starts anew when full.
+REMEMBERED = 400_000
 MAGIC = b"UWTOK1\0\0"
 RANKS, LIST = "ranks.u32", "list"
 NULL_ID = -(1 << 63)
@@ -94,11 +94,14 @@ class StretchEncoder:
             return b"".join([self.spelt[match] for match, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
         return self.matches[plain[1]] + self.matches[plain[2]] if plain[2] else self.matches[plain[1]]
 
+    def forget(self) -> None:
+        for x in (self.spelt, self.matches, self.stretches, self.after_space):
+            x.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The same ids as whole()."""
         if len(self.stretches) + len(self.after_space) > REMEMBERED:
-            for x in (self.spelt, self.matches, self.stretches, self.after_space):
-                x.clear()
+            self.forget()
         out = []
         for text in texts:
             if _ODD_SPACE.search(text) or self.added.search(text):
@@ -133,6 +136,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Da
             for batch in slices(whole, "text", 1 << 20):
                 ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + last for x in ids], pa.binary()), pa.array(np.full(len(ids), encoder.dtype.itemsize, np.int32))], names=["doc_id", "ids", "width"])
+        encoder.forget()  # else it would take memory for as long as the worker lives
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, width int")
 
