@@ -1,8 +1,14 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from unitweave.__main__ import main
+from unitweave.functions import kernels, numeric, providers, text
 from unitweave.operators import canonical, entities, hierarchy, release
 from unitweave.plans.config import Config
+from unitweave.plans.pipeline import Pipeline
 from unitweave.sources import files, schemas
 from unitweave.streaming import strings as streams
 
@@ -103,3 +109,63 @@ def test_stream(spark, tmp_path):
     job = streams.count_names(source).writeStream.outputMode("complete").format("memory").queryName("named").trigger(availableNow=True).start()
     job.awaitTermination(120)
     assert [(r["clean_dept_str"], r["frequency"]) for r in spark.table("named").collect()] == [("department of physics", 1)]
+
+
+def test_token_model(spark):
+    """A model that each worker loads once: its logits become scores, labels and entities."""
+
+    def load():
+        def model(texts):
+            logits = {"D": [4.0, 0.0, 0.0], "o": [0.0, 4.0, 0.0], "X": [0.0, 0.0, 4.0]}
+            return [[(i, i + 1, 1, logits.get(c, [0.0, 4.0, 0.0])) for i, c in enumerate(t)] for t in texts]
+
+        return model
+
+    rows = spark.createDataFrame([(1, "DooX"), (2, ""), (3, None)], "id long, text string")
+    out = {r["id"]: r["entities"] for r in providers.TokenModelTagger(load, ("B-SUB", "I-SUB", "O")).entities(rows).collect()}
+    share = math.exp(4) / (math.exp(4) + 2)
+    assert [(e["entity_group"], e["word"], round(e["score"], 9)) for e in out[1]] == [("SUB", "Doo", round(share, 9))] and out[2] == out[3] == []
+    some = spark.createDataFrame([([1.0, 3.0, 3.0],), ([],)], "x array<double>").select(numeric.softmax_best(F.col("x")).alias("b")).collect()
+    assert some[0]["b"]["index"] == 1 and some[1]["b"] is None
+
+
+def test_embeddings(spark):
+    out = {r["name"]: r["embedding"] for r in providers.HashEmbedder(64).embed(spark.createDataFrame([("school of art",), ("schools of art",), ("law",), ("",)], "name string")).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(out[a], out[b]))
+    assert all(abs(dot(n, n) - 1) < 1e-5 for n in out) and dot("school of art", "schools of art") > dot("school of art", "law")
+
+
+def test_guards(spark):
+    names = spark.createDataFrame([(1, "school of art", 5)], "institution_id long, clean_dept_str string, frequency long")
+    with pytest.raises(ValueError, match="chosen"):
+        canonical.check_names(canonical.load_names(names, Config(institution_ids=(9,))), Config(institution_ids=(9,)))
+    with pytest.raises(ValueError, match="left"):
+        canonical.check_names(canonical.load_names(names.limit(0)))
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], schemas.INSTITUTION_NAME)
+    with pytest.raises(ValueError, match="twice"):
+        release.check_unique(twice, ["institution_id"], "institution")
+    with pytest.raises(ValueError, match="twice"):
+        Pipeline().run({"institution": twice})
+    with pytest.raises(ValueError, match="parent"):
+        hierarchy.check_one_parent(spark.createDataFrame([(1, "u", "a", "x"), (1, "u", "b", "x")], schemas.HIERARCHY))
+    with pytest.raises(ValueError, match="missing"):
+        entities.require_columns(names, ("nothing",))
+    with pytest.raises(ValueError, match="names no institution"):
+        main(["canonicalise", "--input", "x", "--output", "y", "--institution-id", " , "])
+
+
+def test_first_words(spark):
+    out = spark.createDataFrame([("a b  c d",), ("  a",), (None,), ("",)], "t string").select(text.first_words(F.col("t"), 2)).collect()
+    assert [r[0] and r[0].split() for r in out] == [["a", "b"], ["a"], None, ""]
+
+
+def test_links_of_near_rows():
+    """Components by falling labels equal those of a search, over several blocks."""
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60):
+        x = rng.normal(size=(n, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        found = kernels._parts(x, 0.02, 8)
+        near = 1.0 - x @ x.T < 0.02
+        reach = np.linalg.matrix_power((near | near.T | np.eye(n, dtype=bool)).astype(float), n) > 0
+        assert found.tolist() == [int(np.flatnonzero(r)[0]) for r in reach]

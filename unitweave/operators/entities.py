@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from unitweave.functions import text as T
 from unitweave.functions.kernels import token_sort_ratio
 from unitweave.plans.config import Config
+from unitweave.sources.stages import stage_table
 
 ENTITY = "struct<entity_group:string,start:int,end:int,word:string,score:double>"
 ENTITIES = f"array<{ENTITY}>"
@@ -137,6 +138,7 @@ def attribute(ner: DataFrame, candidates: DataFrame, institutions: DataFrame, ab
     few = (F.col("kind") == "SUB") & (F.size(F.filter(F.split("clean", " "), lambda t: t != "")) < 2)
     rows = rows.join(abbreviation_table(abbreviations), F.col("clean") == F.col("abbr"), "left").where("clean != ''").where(~few)
     rows = rows.withColumn("clean", F.when(T.is_abbreviation(F.col("clean")), F.coalesce("expanded", "clean")).otherwise(F.col("clean"))).drop("abbr", "expanded")
+    rows = stage_table(rows, "entity-words")  # both sides of the match use them
     names = institutions.select("institution_id", T.clean_department(F.col("institution_name")).alias("name")).where("name != ''")
     orgs = rows.where("kind = 'ORG' and start is not null and end is not null and clean != ''")
     offered = orgs.select("raw_aff_id", "segment", "place", "start", "clean", F.posexplode("candidates").alias("rank", "institution_id")).join(names, "institution_id")

@@ -369,7 +369,17 @@ def borderline_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.borderline_pairs(rows, rows.select("institution_id", "name", (F.col("name").cast("long") % 7).cast("string").alias("cluster")), 0.75, 0.05)
 
 
-@query()
+#: The nearest two clusters of an institution become one, a step at a time, while their mean distance lies below the threshold.
+LINKED_SQL = """WITH RECURSIVE v AS (SELECT label::BIGINT AS institution_id, lpad(vec_id::VARCHAR, 12, '0') AS name, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT a.institution_id, a.name AS a, b.name AS b, 1 - list_cosine_similarity(a.e, b.e) AS d FROM v a JOIN v b ON a.institution_id = b.institution_id AND a.name <> b.name),
+state AS (SELECT institution_id, 0 AS step, name, name AS cluster FROM v
+  UNION ALL SELECT s.institution_id, s.step + 1, s.name, CASE WHEN s.cluster = m.y THEN m.x ELSE s.cluster END FROM state s JOIN (
+    SELECT institution_id, arg_min(x, far) AS x, arg_min(y, far) AS y FROM (SELECT p.institution_id, p.cluster AS x, q.cluster AS y, avg(d.d) AS far FROM state p JOIN state q ON p.institution_id = q.institution_id AND p.cluster < q.cluster JOIN d ON d.institution_id = p.institution_id AND d.a = p.name AND d.b = q.name GROUP BY 1, 2, 3)
+    GROUP BY 1 HAVING min(far) < 0.75) m ON s.institution_id = m.institution_id)
+SELECT institution_id, name, cluster FROM state QUALIFY step = max(step) OVER (PARTITION BY institution_id)"""
+
+
+@query(LINKED_SQL)
 def agglomerative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.cluster_records(vectors(spark, sf_dir), 0.75, "average")
 
@@ -626,20 +636,35 @@ def json_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(1)).alias("frequency"))
 
 
-@query()
+_KINDS = ("economy", "small", "medium", "promo", "standard", "large", "other")
+ATTRIBUTION_SQL = f"""kinds AS (SELECT unnest(range(7)) AS i, unnest({_sql_list(_KINDS)}) AS kind),
+raw_names AS (SELECT p_partkey * 4 AS id, 'Department of ' || p_name AS raw FROM part UNION ALL SELECT p_partkey * 4 + 1, 'University of ' || lower(p_type) FROM part UNION ALL SELECT p_partkey * 4 + 2, 'Dept ' || p_name FROM part
+  UNION ALL SELECT p_partkey * 4 + 3, 'University of Small' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT -1 - i, 'University of ' || kind FROM kinds), {DEPT_SQL},
+words AS (SELECT id // 4 AS raw_aff_id, id % 4 AS position, raw, CASE WHEN clean = 'dept small ring' THEN 'department of small ring' ELSE clean END AS clean FROM cleaned JOIN raw_names USING (id) WHERE id >= 0 AND clean <> '' AND (id % 4 = 1 OR len(regexp_extract_all(clean, '[^ ]+')) >= 2)),
+lists AS (SELECT p_partkey, [p_size % 6, p_size % 6 + 1] AS ids FROM part WHERE p_partkey % 9 <> 0), offers AS (SELECT p_partkey, unnest(ids) AS institution_id, unnest([0, 1]) AS rank FROM lists),
+offered AS (SELECT raw_aff_id, words.clean AS a, n.clean AS b, rank, institution_id FROM words JOIN offers ON p_partkey = raw_aff_id JOIN cleaned n ON n.id = -1 - institution_id WHERE position = 1 AND n.clean <> ''),
+pairs AS (SELECT DISTINCT a, b FROM offered), {ratio_sql('pairs')},
+best AS (SELECT raw_aff_id, first(institution_id ORDER BY score DESC, rank, institution_id DESC) AS found, max(score) AS score FROM offered JOIN rated USING (a, b) GROUP BY 1),
+told AS (SELECT words.*, ids, CASE WHEN position = 0 AND score >= 75 THEN found END AS found FROM words JOIN lists ON p_partkey = raw_aff_id LEFT JOIN best USING (raw_aff_id) WHERE position <> 1 AND clean NOT IN (SELECT lower('University of ' || kind) FROM kinds))"""
+
+
+@query(f"""WITH {ATTRIBUTION_SQL} SELECT raw_aff_id, CASE WHEN found IS NULL THEN array_to_string(ids, ';') ELSE found::VARCHAR END AS institution_ids, CASE WHEN found IS NULL THEN 2 ELSE 1 END AS inst_count,
+  raw AS raw_dept_str, clean AS clean_dept_str, position * 5 AS start, position * 5 + length(raw) AS "end", 1 AS frequency FROM told""")
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole attribution of entities made of part names, with suppliers' nations as candidates."""
+    """The whole attribution of entities made of part names, with kinds of parts as candidates."""
     ner, lists, named = ner_tables(spark, sf_dir)
-    return entities.attribute(ner, lists, named, spark.createDataFrame([("dept small ring", "department of small ring")], "abbr_name string, full_name string"))
+    out = entities.attribute(ner, lists, named, spark.createDataFrame([("dept small ring", "department of small ring")], "abbr_name string, full_name string"))
+    return out.withColumn("institution_ids", F.array_join(F.transform("institution_ids", lambda x: x.cast("string")), ";"))
 
 
 def ner_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     entity = lambda kind, word, start: F.struct(F.lit(kind).alias("entity_group"), word.alias("word"), F.lit(start).alias("start"), (F.lit(start) + F.length(word)).cast("int").alias("end"))
     some = F.array(entity("SUB", F.concat(F.lit("Department of "), F.col("p_name")), 0), entity("ORG", F.concat(F.lit("University of "), F.lower("p_type")), 40), entity("SUB", F.concat(F.lit("Dept "), F.col("p_name")), 10))
+    some = F.when(F.col("p_partkey") % 5 == 0, F.concat(some, F.array(entity("SUB", F.lit("University of Small"), 60)))).otherwise(some)
     ner = part.select(F.col("p_partkey").alias("raw_affiliation_string_id"), F.lit(None).cast("long").alias("frequency"), some.alias("entities"))
-    lists = part.select(F.col("p_partkey").alias("raw_affiliation_string_id"), F.array(F.col("p_size") % 6, F.col("p_size") % 6 + 1).cast("array<bigint>").alias("institution_ids"))
-    kinds = F.array(*[F.lit(x) for x in ("economy", "small", "medium", "promo", "standard", "large", "other")])
+    lists = part.where("p_partkey % 9 != 0").select(F.col("p_partkey").alias("raw_affiliation_string_id"), F.array(F.col("p_size") % 6, F.col("p_size") % 6 + 1).cast("array<bigint>").alias("institution_ids"))
+    kinds = F.array(*[F.lit(x) for x in _KINDS])
     named = spark.range(7).select(F.col("id").alias("institution_id"), F.concat(F.lit("University of "), F.get(kinds, F.col("id").cast("int"))).alias("institution_name"))
     return ner, lists, named
 
