@@ -52,11 +52,12 @@ def test_mix(hard_docs, hard_rows, no_docs):
 @pytest.mark.parametrize("span, history", [(20, 8), (1, 1), (512, 128)])
 def test_chat_round_trip(spark, span, history):
     said = ["a b c", "</s>[INST] ok [/INST]", "[~TURN] x", "[TURN]~[~~SAYS]", None, "", "w " * 50, "<<SYS>> é 😀"]
-    rows = [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant", None, "[TURN]r")[t % 4], said[(c + t) % 8]) for c in range(5) for t in range(9)] + [(1, 3, "assistant", "twice"), (2, None, "assistant", "no turn")]
+    alone = [(None, 0, "user", "no conversation"), (None, 1, "assistant", "said")]
+    rows = alone + [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant", None, "[TURN]r")[t % 4], said[(c + t) % 8]) for c in range(5) for t in range(9)] + [(1, 3, "assistant", "twice"), (2, None, "assistant", "no turn")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     windows = chat_format.format_windows(turns.withColumn("place", F.lit(1)), span, history)
     read = {r["conv_id"]: r for r in chat_format.read_windows(windows).collect()}
-    for c in range(5):
+    for c in (None, *range(5)):
         own = sorted(((t is None, t or 0, r is not None, r or "", x is not None, x or "") for i, t, r, x in rows if i == c))
         want = [(r, x) for _, _, _, r, _, x in own]
         assert sorted(map(tuple, read[c]["turns"])) == sorted(want) and len(read[c]["turns"]) == len(want)
@@ -185,6 +186,28 @@ def test_added_tokens_equal_the_unmodified_library():
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_texts_above_a_slice(spark):
+    """Texts longer than a slice, and wide Arrow offsets, through the operators that read batches."""
+    from unitweave.llm import quality_rules, substring_dedup, toxicity
+
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, long + " end"), (4, None)], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    told = []
+    for wide in ("false", "true"):
+        spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", wide)
+        try:
+            cut = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+            counted = {r["doc_id"]: r["n_words"] for r in quality_rules.apply_rules(docs, quality_rules.Model()).collect()}
+            scored = toxicity.score(docs, toxicity.Model(np.zeros(0, np.uint64), np.zeros(0))).count()
+            ids = sorted(map(tuple, token_binary.write_and_read(docs, path).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+        told.append((cut, counted, scored, ids))
+    assert told[0] == told[1]
+    assert told[0][0] == {1: 0, 2: 0, 3: 300_000, 4: 0} and told[0][1] == {1: 300_000, 2: 1, 3: 300_001, 4: 0} and told[0][2] == 4
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 1000):

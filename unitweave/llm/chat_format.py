@@ -74,7 +74,11 @@ def format_windows(turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tok
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text; in order, each once), loss_texts and formatted_chars, from formatted windows alone."""
+    """conv_id, turns (role, text; in order, each once), loss_texts and formatted_chars, from formatted windows alone.
+
+    windows are those of format_windows() (conv_id, window, formatted, loss_spans), each once. A null conv_id is a
+    conversation of its own; empty texts come back empty; no windows give no rows. Other columns are ignored.
+    """
     part = F.slice(F.split("formatted", F.lit(END)), 1, F.size(F.split("formatted", F.lit(END))) - 1)
     fresh = F.filter(part, lambda x: x.startswith(TURN))
     said = F.transform(

@@ -17,6 +17,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]"
 
 _own_folder: list[str] = []
+#: Paths that this session's operators have written below the shared folder, in order.
+written: list[str] = []
 
 
 #: Bytes of an Arrow batch: the JVM and a Python worker each hold some at once.
@@ -38,7 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    written.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables and files that no frame in use reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        written.remove(path)
 
 
 def bound_batches(spark: SparkSession) -> None:
