@@ -171,17 +171,24 @@ def test_token_folder_is_read_by_path(spark, tmp_path):
     assert [(d, n) for d, _, n, _ in out] == [(1, 1), (2, 2), (3, 4)] and [s for _, s, _, _ in out] == [0, 1, 3]
 
 
-def test_stretches_equal_the_library():
-    encoder = token_binary.StretchEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", "  a  b\n\n c\t\td  ", "a\x1c b  c", " 　x", "it's we'll  don't\n 'tis", "<|endoftext|> hi", "é  ß\r\n\r\n  z\n", "\n", "x#!y 12ab Straße'"]
+def test_matches_equal_the_library():
+    encoder = token_binary.MatchEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "  a  b\n\n c\t\td  ", "a\x1c b  c", " 　x", "it's we'll  don't\n 'tis", "<|endoftext|> hi", "é  ß\r\n\r\n  z\n", "\n", "x#!y 12ab Straße'", "a\u00a0b \u0085 c", "“so” it’s – 日本 😀"]
+    rng = np.random.default_rng(6)
+    every = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2030)]]
+    often = list(" \n\t'aeéstlvrmdZ19²,.#")
+    for _ in range(3000):
+        texts.append("".join(every[rng.integers(len(every))] if rng.random() < 0.2 else often[rng.integers(len(often))] for _ in range(rng.integers(1, 25))))
+    texts += ["".join(every), " ".join(every), " 1".join(every)]
     assert encoder.encode(texts) == encoder.whole(texts)
+    assert sum(token_binary._OTHER.search(t) is None for t in texts) > 1000
 
 
 def test_added_tokens_equal_the_unmodified_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, encoder = Tokenizer.from_file(path), token_binary.StretchEncoder(path)
+    library, encoder = Tokenizer.from_file(path), token_binary.MatchEncoder(path)
     texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext |> <|endoftex", "plain text", "", "  x\u00a0<|endoftext|>y"]
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 

@@ -24,22 +24,18 @@ from unitweave.llm.common import bound_batches, cut, fresh_path, offsets_of, ope
 
 END_ID = 2
 FILE_IDS = 1 << 21
-#: Entries of a task's memory of encoded stretches; it starts anew when full.
-REMEMBERED = 400_000
+#: Entries of a worker's memory of encoded matches; it starts anew when full.
+REMEMBERED = 500_000
 MAGIC = b"UWTOK1\0\0"
 RANKS, LIST = "ranks.u32", "list"
 NULL_ID = -(1 << 63)
 _LIST = "first long, file string, n_ids long"
 
-# A stretch is white space, then what follows up to the next white space. Every pre-tokenizer match that holds a
-# non-space character ends before white space begins, so stretches are encoded alone exactly as they are in their text.
-_STRETCH = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-# A space after other white space: such texts are not cut by splitting at spaces.
-_RUN = re.compile(r"[ \t-\r] ")
-# What Unicode or Python count as white space beside [ \t-\r]: texts that hold any are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-# A space, Latin letters, then ASCII punctuation without the apostrophe: two pre-tokenizer matches, or one.
-_PLAIN = re.compile("( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+# The pre-tokenizer's pattern for texts whose characters all lie in ranges where Python's classes of letters, numbers and
+# white space are surely the library's: Latin without its odd white space, and common punctuation. Others are encoded whole.
+_SPACES, _LETTERS, _NUMBERS = " \t-\r", "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_MATCH = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_OTHER = re.compile("[^\0-\x1b\x20-\x84\x86-\x9f\xa1-\u024f\u2010-\u2027]")
 
 
 def _byte_letters() -> list[str]:
@@ -61,8 +57,8 @@ class _Known(dict):
         return made
 
 
-class StretchEncoder:
-    """Encodes texts with a byte-level BPE tokenizer file, each distinct stretch once while it is remembered."""
+class MatchEncoder:
+    """Encodes texts with a byte-level BPE tokenizer file, each distinct pre-tokenizer match once while it is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,54 +71,37 @@ class StretchEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = dict(enumerate(_byte_letters()))
-        self.spelt = _Known(self._spelt)
-        self.matches = _Known(lambda x: self._spelt(x.encode().decode("latin-1").translate(self.letters)))
-        self.stretches = _Known(self._stretch)
-        self.after_space = _Known(lambda x: self._stretch(" " + x))
+        self.known = _Known(self._spelt)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The ids of each text by the library alone, as little-endian bytes of self.dtype."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spelt(self, match: str) -> bytes:
-        """One pre-tokenizer match, spelt in the letters of its bytes, merged by the library's model."""
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(match)]).tobytes()
-
-    def _stretch(self, text: str) -> bytes:
-        plain = _PLAIN.fullmatch(text)
-        if plain is None:
-            return b"".join([self.spelt[match] for match, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-        return self.matches[plain[1]] + self.matches[plain[2]] if plain[2] else self.matches[plain[1]]
-
-    def forget(self) -> None:
-        for x in (self.spelt, self.matches, self.stretches, self.after_space):
-            x.clear()
+        """One match, spelt in the letters of its bytes and merged by the library's model."""
+        spelt = match.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The same ids as whole()."""
-        if len(self.stretches) + len(self.after_space) > REMEMBERED:
-            self.forget()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         out = []
         for text in texts:
-            if _ODD_SPACE.search(text) or self.added.search(text):
+            if _OTHER.search(text) or self.added.search(text):
                 out += self.whole([text])
-            elif _RUN.search(text):
-                out.append(b"".join(map(self.stretches.__getitem__, _STRETCH.findall(text))))
-            elif text:
-                first, *rest = text.split(" ")
-                out.append((self.stretches[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest)))
             else:
-                out.append(b"")
+                out.append(b"".join(map(self.known.__getitem__, _MATCH.findall(text))))
         return out
 
 
-_encoders: dict[str, StretchEncoder] = {}
+_encoders: dict[str, MatchEncoder] = {}
 
 
-def _encoder(path: str) -> StretchEncoder:
+def _encoder(path: str) -> MatchEncoder:
     if path not in _encoders:
         _encoders.clear()
-        _encoders[path] = StretchEncoder(path)
+        _encoders[path] = MatchEncoder(path)
     return _encoders[path]
 
 
@@ -136,7 +115,6 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Da
             for batch in slices(whole, "text", 1 << 20):
                 ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + last for x in ids], pa.binary()), pa.array(np.full(len(ids), encoder.dtype.itemsize, np.int32))], names=["doc_id", "ids", "width"])
-        encoder.forget()  # else it would take memory for as long as the worker lives
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, width int")
 
