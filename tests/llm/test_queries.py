@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from unitweave.llm import mixing, queries
+from unitweave.llm.common import cut
 
 
 def rows(frame):
@@ -110,3 +111,16 @@ def test_registered_queries_cover_their_tables(spark, sf, sf_docs, name):
     out = queries.queries()[name](spark, sf)
     assert out.columns[: len(columns)] == columns
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in sf_docs.select("doc_id").collect())
+
+
+def test_stages_on_hard_rows_and_empty_tables(spark, sf, hard_docs, hard_rows, no_docs):
+    """Nulls, repeats, long texts and clashing extra columns go through every stage; an empty table gives empty results."""
+    for docs, start in ((hard_docs, len(hard_rows)), (no_docs, 0)):
+        counts = [start]
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            assert out.columns == (hard_docs.columns if k < 4 else ["doc_id", "ids", "n_pieces", "round_trip"]), name
+            docs = cut(out, "test")
+            counts.append(docs.count())
+        assert counts[0] >= counts[1] >= counts[2] >= counts[3] and counts[4] == counts[5]
+        assert (counts[5] > 0) == (start > 0)
