@@ -251,7 +251,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -
     open_buckets = cut(rows.join(several, "key", "left_semi").select("key", "band", "node").distinct(), "buckets")
     some = cut(sketches.join(open_buckets.select("node").distinct(), "node", "left_semi").select("node", "bands", "sketch"), "bucket-sketches")
     sets = cut(full_sets(docs, some.select("node")), "bucket-sets")
-    found, links, tried, turn, before = None, None, None, 0, -1
+    found, tried, turn, before = None, None, 0, -1
     while True:
         placed, stands = _open(open_buckets, found, turn)
         pairs = placed.join(stands, "key").where(F.col("s.component") != F.col("component"))
@@ -260,10 +260,9 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -
         pairs = cut(_not_ruled_out(pairs, some), "pairs")
         fresh = cut(confirm(pairs, sets, percent), "links")
         n = fresh.count()
-        links = fresh if links is None else links.unionByName(fresh)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
-            found = components(links)
+            found = components(_with_found(fresh, found))
         open_buckets, turn = cut(placed.join(stands, "key", "left_semi").select("key", "band", "node"), "buckets"), turn + 1
         if n == 0 or 4 * n < before:
             break
@@ -271,7 +270,12 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -
     placed, stands = _open(open_buckets, found, turn)
     placed = cut(placed.join(stands, "key", "left_semi"), "open-buckets")
     fresh = cut(compare_blocks(placed.join(some.join(sets, "node"), "node"), percent), "links")
-    return components(links.unionByName(fresh))
+    return components(_with_found(fresh, found))
+
+
+def _with_found(links: DataFrame, found: DataFrame | None) -> DataFrame:
+    """New links, and a link from each node to the component that older ones gave it."""
+    return links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def _open(buckets: DataFrame, found: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
