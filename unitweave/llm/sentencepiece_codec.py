@@ -11,7 +11,7 @@ nor a table of all words ever meet in one task.
 
 The model is a byte-pair model, whose scores are ranks of merges. They become costs by the law of Zipf and Mandelbrot,
 log(ZIPF + rank), so a path's cost stands for a probability; ids are those of the best path, which for about one word in
-fourteen is another than that which the library reaches by merging.
+six is another than that which the library reaches by merging.
 """
 
 from __future__ import annotations
