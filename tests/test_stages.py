@@ -125,6 +125,7 @@ def test_token_model(spark):
     out = {r["id"]: r["entities"] for r in providers.TokenModelTagger(load, ("B-SUB", "I-SUB", "O")).entities(rows).collect()}
     share = math.exp(4) / (math.exp(4) + 2)
     assert [(e["entity_group"], e["word"], round(e["score"], 9)) for e in out[1]] == [("SUB", "Doo", round(share, 9))] and out[2] == out[3] == []
+    assert providers.TokenModelTagger(load, ("B-SUB", "I-SUB", "O")).spans(rows).columns == ["id", "text", "spans"]
     some = spark.createDataFrame([([1.0, 3.0, 3.0],), ([],)], "x array<double>").select(numeric.softmax_best(F.col("x")).alias("b")).collect()
     assert some[0]["b"]["index"] == 1 and some[1]["b"] is None
 
@@ -135,6 +136,20 @@ def test_embeddings(spark):
     assert all(abs(dot(n, n) - 1) < 1e-5 for n in out) and dot("school of art", "schools of art") > dot("school of art", "law")
 
 
+def test_model_embedder(spark):
+    """The model is loaded in the worker, sees few names at a time, and its vectors come out at length 1."""
+
+    def load():
+        def model(names):
+            assert len(names) <= 2
+            return [[len(n), 0.0, 3.0 if n else 0.0] for n in names]
+
+        return model
+
+    out = {r["name"]: r["embedding"] for r in providers.ModelEmbedder(load, 2).embed(spark.createDataFrame([("four",), ("four",), ("",), ("ab",), ("abcdef",)], "name string")).collect()}
+    assert [round(x, 5) for x in out["four"]] == [0.8, 0.0, 0.6] and out[""] == [0.0, 0.0, 0.0] and len(out) == 4
+
+
 def test_guards(spark):
     names = spark.createDataFrame([(1, "school of art", 5)], "institution_id long, clean_dept_str string, frequency long")
     with pytest.raises(ValueError, match="chosen"):

@@ -100,6 +100,12 @@ class TokenModelTagger:
         self.load, self.labels = load, labels
 
     def entities(self, rows: DataFrame) -> DataFrame:
+        return self._tagged(rows, "entities")
+
+    def spans(self, rows: DataFrame) -> DataFrame:
+        return self._tagged(rows, "spans")
+
+    def _tagged(self, rows: DataFrame, name: str) -> DataFrame:
         from unitweave.operators.entities import decode_tags
 
         load, at = self.load, rows.columns.index("text")
@@ -119,7 +125,30 @@ class TokenModelTagger:
             best = N.softmax_best(t["logits"])
             return F.struct(F.get(names, best["index"]).alias("label"), best["score"].alias("score"), t["start"].alias("start"), t["end"].alias("end"), t["mask"].alias("mask"))
 
-        return rows.mapInArrow(run, schema).withColumn("entities", decode_tags(F.transform("tokens", tagged), F.coalesce("text", F.lit("")))).drop("tokens")
+        return rows.mapInArrow(run, schema).withColumn(name, decode_tags(F.transform("tokens", tagged), F.coalesce("text", F.lit("")))).drop("tokens")
+
+
+class ModelEmbedder:
+    """Vectors of a text encoder that each Python worker loads once: load() gives a model, model(names) a row of numbers for
+    each name. Vectors come out at length 1; a zero vector stays zero."""
+
+    def __init__(self, load, batch_size: int = 64):
+        self.load, self.batch_size = load, batch_size
+
+    def embed(self, names: DataFrame) -> DataFrame:
+        load, most = self.load, self.batch_size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = load()
+            for batch in batches:
+                for first in range(0, batch.num_rows, most):
+                    some = batch.slice(first, most)
+                    made = np.asarray(model([x or "" for x in some.column(0).to_pylist()]), np.float32)
+                    made = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
+                    yield pa.RecordBatch.from_arrays([some.column(0), lists], names=["name", "embedding"])
+
+        return names.select("name").distinct().mapInArrow(run, "name string, embedding array<float>")
 
 
 class HashEmbedder:
