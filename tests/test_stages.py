@@ -67,6 +67,24 @@ def test_clusters(spark):
     assert {(r[0], r[1], r[2]) for r in canonical.cluster_records(rows).collect()} == {(1, "a", "a"), (1, "b", "a"), (1, "c", "c"), (2, "a", "a")}
 
 
+def test_clusters_of_many_names(spark):
+    """An institution of many blocks is clustered as one of a single block."""
+    rng = np.random.default_rng(8)
+    rows = [(i, f"n{k:03d}", [float(x) for x in rng.normal(size=3)]) for i, n in ((1, 90), (2, 5), (3, 31)) for k in range(n)]
+    vectors = spark.createDataFrame(rows, "institution_id long, name string, embedding array<float>")
+    for linkage in ("average", "complete"):
+        whole = {tuple(r) for r in canonical.cluster_records(vectors, 0.05, linkage).collect()}
+        assert whole == {tuple(r) for r in canonical.cluster_records(vectors, 0.05, linkage, block=12).collect()}
+        assert len(whole) == len(rows) > len({(r[0], r[2]) for r in whole})
+    labels = vectors.select("institution_id", "name", F.right("name", F.lit(1)).alias("cluster"))
+    found = {tuple(r) for r in canonical.borderline_pairs(vectors, labels, 0.05, 0.05).collect()}
+    assert found and found == {tuple(r) for r in canonical.borderline_pairs(vectors, labels, 0.05, 0.05, block=12).collect()}
+    unit = {(i, n): np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for i, n, v in rows}
+    brute = {(i, m, n) for (i, m), x in unit.items() for (j, n), y in unit.items() if i == j and m < n and m[-1] != n[-1] and 0.9 <= x @ y < 0.95}
+    assert {r[:3] for r in found} == brute
+    assert canonical.borderline_pairs(vectors, labels, 0.05, 0.0).count() == 0
+
+
 def test_top_coverage(spark):
     rows = spark.createDataFrame([(1, n, f) for n, f in (("a", 60), ("b", 30), ("c", 6), ("d", 4))] + [(2, "z", 0)], "institution_id long, canonical_dept_name string, frequency long")
     assert sorted(r[1] for r in hierarchy.top_coverage(rows).collect()) == ["a", "b", "c"]

@@ -51,16 +51,6 @@ def softmax_best(logits: Column) -> Column:
     return F.when(F.size(logits) > 0, F.struct((F.array_position(logits, top) - 1).cast("int").alias("index"), (F.lit(1.0) / total).alias("score")))
 
 
-def unit(vector: Column) -> Column:
-    """The vector at length 1, as doubles; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays, within -1 and 1; 0 for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from unitweave.functions import numeric as N
 from unitweave.functions import text as T
-from unitweave.functions.kernels import cluster
+from unitweave.functions.kernels import cluster, near_band, near_parts
 from unitweave.plans.config import Config
 from unitweave.sources.stages import stage_table
 
@@ -95,30 +95,87 @@ def members(rows: DataFrame) -> DataFrame:
     return listed.select("institution_id", "name", F.transform("m", lambda x: F.struct(x["raw_name"].alias("raw_name"), (-x["less"]).alias("frequency"))).alias("members"))
 
 
-def cluster_records(vectors: DataFrame, threshold: float = 0.15, linkage: str = "average") -> DataFrame:
+def cluster_records(vectors: DataFrame, threshold: float = 0.15, linkage: str = "average", block: int = 2048) -> DataFrame:
     """institution_id, name, cluster (its first member by name) for records with an embedding, clustered inside each institution.
 
-    An institution is first parted into components of near pairs, block by block, so that no matrix of all its names forms.
+    An institution of more names than a block is first parted into components of near pairs, a task for each pair of its
+    blocks; no cluster spans two of them, so each is clustered by itself and no matrix of all names forms.
     """
+    key = ["institution_id", "name"]
+    rows = vectors.select(*key, "embedding")
+    sizes = _sizes(rows, block)
+    kind = dict(vectors.dtypes)["institution_id"]
+    schema = f"institution_id {kind}, name string, cluster string"
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("name", ignore_index=True)
         label = cluster(group["embedding"].tolist(), threshold, linkage) if len(group) else []
         return pd.DataFrame({"institution_id": group["institution_id"], "name": group["name"], "cluster": group["name"].to_numpy()[label] if len(group) else []})
 
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return rows.groupBy("institution_id").applyInPandas(inside, schema)
+    few = rows.join(large, "institution_id", "left_anti").groupBy("institution_id").applyInPandas(inside, schema)
+    many = stage_table(rows.join(large, "institution_id"), "many-names")
+    parted = many.join(_near_components(many, threshold, block), key)
+    return few.union(parted.groupBy("institution_id", "component").applyInPandas(inside, schema))
+
+
+def _sizes(rows: DataFrame, block: int) -> DataFrame:
+    return rows.groupBy("institution_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """rows (institution_id, name, blocks, ...) once for each pair of blocks (low, high) of an institution that their own block is in."""
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+def _near_components(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """institution_id, name, component (its first name) for rows (institution_id, name, embedding, blocks) linked by near pairs."""
+    placed = _block_pairs(rows)
+    kind = dict(rows.dtypes)["institution_id"]
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("name", ignore_index=True)
+        head = group["name"].to_numpy()[near_parts(group["embedding"].tolist(), threshold, block)]
+        out = pd.DataFrame({"institution_id": group["institution_id"], "name": group["name"], "head": head})
+        return out[out["name"] != out["head"]]
+
+    links = placed.groupBy("institution_id", "low", "high").applyInPandas(link, f"institution_id {kind}, name string, head string")
+    links = stage_table(links.distinct(), "near-links")
+    both = links.union(links.select("institution_id", "head", "name")).toDF("institution_id", "name", "near")
+    found = rows.select("institution_id", "name", F.col("name").alias("component"))
+    while True:
+        near = found.select("institution_id", F.col("name").alias("near"), F.col("component").alias("offered"))
+        offers = both.join(near, ["institution_id", "near"]).groupBy("institution_id", "name").agg(F.min("offered").alias("offered"))
+        after = found.join(offers, ["institution_id", "name"], "left").select("institution_id", "name", F.least("component", F.coalesce("offered", "component")).alias("component"), "component")
+        after = stage_table(after.toDF("institution_id", "name", "component", "before"), "near-components")
+        found = after.drop("before")
+        if after.where("component != before").isEmpty():
+            return found
+
+
+def borderline_pairs(vectors: DataFrame, clusters: DataFrame, threshold: float = 0.15, margin: float = 0.05, block: int = 2048) -> DataFrame:
+    """Pairs of an institution in different clusters whose similarity lies just below the merge similarity; none for margin 0.
+
+    A task compares two blocks of an institution's names by one product of matrices and emits what lies in the margin.
+    """
+    low, high = max(0.0, 1.0 - threshold - margin), 1.0 - threshold
+    rows = vectors.join(clusters, ["institution_id", "name"]).select("institution_id", "name", "embedding", "cluster").where(F.lit(margin > 0))
+    placed = _block_pairs(rows.join(_sizes(rows, block), "institution_id"))
     kind = dict(vectors.dtypes)["institution_id"]
-    return vectors.select("institution_id", "name", "embedding").groupBy("institution_id").applyInPandas(inside, f"institution_id {kind}, name string, cluster string")
-
-
-def borderline_pairs(vectors: DataFrame, clusters: DataFrame, threshold: float = 0.15, margin: float = 0.05) -> DataFrame:
-    """Pairs of an institution in different clusters whose similarity lies just below the merge similarity; none for margin 0."""
-    merge = 1.0 - threshold
-    a = vectors.join(clusters, ["institution_id", "name"]).select("institution_id", F.col("name").alias("dept_a"), N.unit(F.col("embedding")).alias("ea"), F.col("cluster").alias("ca"))
-    a = stage_table(a, "unit-vectors")  # lengths are taken once, not for each pair
-    b = a.select("institution_id", F.col("dept_a").alias("dept_b"), F.col("ea").alias("eb"), F.col("ca").alias("cb"))
-    pairs = a.join(b, "institution_id").where("dept_a < dept_b and ca != cb").withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), N.dot(F.col("ea"), F.col("eb")))))
-    inside = (F.col("similarity") >= max(0.0, merge - margin)) & (F.col("similarity") < merge) & F.lit(margin > 0)
-    return pairs.where(inside).select("institution_id", "dept_a", "dept_b", F.round("similarity", 4).alias("similarity"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = group[group["own"] == group["low"]], group[group["own"] == group["high"]]
+        at = near_band(first["embedding"].tolist(), second["embedding"].tolist(), low, high) if len(first) and len(second) else ([], [], [])
+        a, b = first.iloc[at[0]], second.iloc[at[1]]
+        out = pd.DataFrame({"institution_id": a["institution_id"].to_numpy(), "dept_a": a["name"].to_numpy(), "dept_b": b["name"].to_numpy(), "similarity": at[2]})
+        apart = (a["cluster"].to_numpy() != b["cluster"].to_numpy()) & ((out["dept_a"] < out["dept_b"]) | (a["own"].to_numpy() != b["own"].to_numpy()))
+        return out[apart]
+
+    found = placed.groupBy("institution_id", "low", "high").applyInPandas(compare, f"institution_id {kind}, dept_a string, dept_b string, similarity double")
+    return found.select("institution_id", F.least("dept_a", "dept_b").alias("dept_a"), F.greatest("dept_a", "dept_b").alias("dept_b"), F.round("similarity", 4).alias("similarity"))
 
 
 def canonical_names(clustered: DataFrame) -> DataFrame:
