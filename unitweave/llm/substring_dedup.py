@@ -32,7 +32,7 @@ HELD_WINDOWS, HELD_DOCS = 1_000_000, (1 << 16) - SLICE_ROWS
 _SHORT = np.uint64((1 << 48) - 1)
 _NULL = (1 << 63) - 1
 
-_BLOCK = "part long, batch long, kind int, docs binary, at binary, hashes binary, positions binary"
+_BLOCK = "part int, batch long, kind int, docs binary, at binary, hashes binary, positions binary"
 _ANSWER = "batch long, docs binary, at binary, items binary"
 _FACT = "doc_key long, tag long, found binary"
 
@@ -94,7 +94,7 @@ def _from_six(raw: bytes) -> np.ndarray:
 def _rows(rows: list[tuple], batch: int) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 6
     columns.insert(1, [batch] * len(rows))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["part", "batch", "kind", "docs", "at", "hashes", "positions"])
 
 
@@ -272,7 +272,7 @@ def _exchange(rows: DataFrame, window: int, length: int, below: int | None, part
 
     blocks = rows.mapInArrow(send, _BLOCK)
     # A task for each part: hashing the few parts would put several into one task and none into another.
-    answers = blocks.repartitionById(parts, F.col("part").cast("int")).groupBy("part").applyInPandas(_answer(length == window), _ANSWER)
+    answers = blocks.repartitionById(parts, "part").groupBy("part").applyInPandas(_answer(length == window), _ANSWER)
     facts = answers.groupBy("batch").applyInPandas(_gather(length == window), _FACT)
     return facts.groupBy("doc_key", "tag").agg(F.collect_list("found").alias("found"))
 
