@@ -6,8 +6,8 @@ of bounded length, which an equi-join matches with the piece table; what matches
 are grouped by unit and folded by Viterbi's rule with a higher-order aggregate.
 
 Texts are shuffled once, into blocks. A block's units are made distinct inside it, look their ids up among the units of
-all blocks, and come back to the block, where the ids replace the units of its texts. So neither the occurrences of words
-nor a table of all words ever meet in one task.
+all blocks, and come back to the block as a hash table, an array of small maps, in which each occurrence finds its ids. So
+occurrences of words are neither shuffled nor sorted, and no table of all words meets in one task.
 
 The model is a byte-pair model, whose scores are ranks of merges. They become costs by the law of Zipf and Mandelbrot,
 log(ZIPF + rank), so a path's cost stands for a probability; ids are those of the best path, which for about one word in
@@ -30,10 +30,10 @@ UNIT = 32
 ZIPF = 1000
 #: Cost, in millionths of a nat, of a character that no piece covers and that is spelt in bytes.
 UNKNOWN_COST = 50_000_000
-#: Text of a block, whose units meet in one task; larger blocks share more units and need more memory.
-BLOCK_BYTES = 6 << 20
-#: Units of a text whose ids are gathered at once.
-CHUNK = 4096
+#: Text of a block, whose texts and units meet in one task; larger blocks share more units and need more memory.
+BLOCK_BYTES = 16 << 20
+#: Maps of a block's hash table, a power of two.
+MAPS = 1 << 15
 
 # An edge of a lattice is one long: its end, cost, size and id. A node of a path is the path's cost so far, then size and id
 # of its last edge, in the same places.
@@ -150,18 +150,23 @@ def encode(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES) ->
     paths = viterbi(distinct, model.table(spark), model.longest)
     coded = paths.select(F.col("unit").alias("coded"), "first_block", _spelt(F.col("unit"), F.col("path"), model.byte_ids).alias("ids"))
     told = seen.join(coded.hint("shuffle_hash"), (F.col("unit") == F.col("coded")) & (F.col("block") >= F.col("first_block")))
-    told = told.select("block", "unit", "ids").repartitionById(n, "block")
-    # A text's first unit carries the row's own columns; row numbers hold only inside the task that gives them.
-    head = F.when(F.coalesce("place", F.lit(0)) == 0, F.struct("doc_id", "text"))
-    uses = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(units(F.col("text"))).alias("place", "unit"))
-    uses = uses.select("block", "row", "place", "unit", head.alias("head")).join(told.hint("shuffle_hash"), ["block", "unit"], "left")
-    in_order = lambda by: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(by, "ids"))), lambda x: x["ids"])).alias("ids")
-    chunks = uses.groupBy("block", "row", F.floor(F.coalesce("place", F.lit(0)) / F.lit(CHUNK)).alias("chunk")).agg(in_order("place"), F.any_value("head", F.lit(True)).alias("head"))
-    whole = chunks.groupBy("block", "row").agg(in_order("chunk"), F.any_value("head", F.lit(True)).alias("head"))
-    out = whole.select("head.doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "head.text")
+    # Every block gets every map, if only an empty one, so that a map's number is its place.
+    empty = spark.range(n * MAPS).select((F.col("id") / MAPS).cast("int").alias("block"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), (F.col("id") % MAPS).cast("int").alias("map"))
+    told = told.select("block", "unit", "ids", _map_of(F.col("unit")).alias("map")).union(empty).repartitionById(n, "block")
+    maps = told.groupBy("block", "map").agg(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("unit", "ids"))).alias("entries"))
+    tables = maps.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("map", "entries"))).alias("t"))
+    tables = tables.select("block", F.transform("t", lambda x: F.map_from_entries(x["entries"])).alias("table"))
+    texts = rows.groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("rows"))
+    ids_of = lambda text: F.flatten(F.transform(units(text), lambda u: F.element_at(F.get("table", _map_of(u)), u)))
+    coded_rows = F.transform("rows", lambda r: F.struct(r["doc_id"].alias("doc_id"), r["text"].alias("text"), ids_of(r["text"]).alias("ids")))
+    out = texts.join(tables.hint("shuffle_hash"), "block").select(F.inline(coded_rows))
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (_text_of(F.col("ids"), model) == F.col("text")).alias("round_trip"))
 
 
+def _map_of(unit: Column) -> Column:
+    return F.xxhash64(unit).bitwiseAND(MAPS - 1).cast("int")
+
+
 def _text_of(ids: Column, model: Model) -> Column:
     """The text of ids; bytes that are not UTF-8 become U+FFFD."""
     table = F.split(F.lit(",".join(model.texts)), ",")
