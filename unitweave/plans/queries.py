@@ -483,14 +483,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_table(hierarchy.score_edges(graph_records(spark, sf_dir)), "edges")
 
 
-@query(f"{SCORES} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) AS direction_score FROM edge")
+@query(f"{SCORES} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) + 0.0e0 AS direction_score FROM edge")
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).withColumn("direction_score", F.round("direction_score", 6))
+    return edges(spark, sf_dir).withColumn("direction_score", F.round("direction_score", 6) + F.lit(0.0))
 
 
-@query(f"{SCORES} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) AS direction_score FROM strong")
+@query(f"{SCORES} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) + 0.0e0 AS direction_score FROM strong")
 def edge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.keep_strong(edges(spark, sf_dir)).withColumn("direction_score", F.round("direction_score", 6))
+    return hierarchy.keep_strong(edges(spark, sf_dir)).withColumn("direction_score", F.round("direction_score", 6) + F.lit(0.0))
 
 
 @query(f"{SCORES} SELECT institution_id, parent_dept, child_dept, k FROM topk")
@@ -511,9 +511,9 @@ walk AS (SELECT institution_id, 0::BIGINT AS place, false AS taken, []::STRUCT(u
 forest AS (SELECT r.institution_id, parent_dept, child_dept, direction_score FROM ranked r JOIN walk w ON r.institution_id = w.institution_id AND r.place = w.place WHERE taken)"""
 
 
-@query(f"{FOREST_SQL} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) AS direction_score FROM forest")
+@query(f"{FOREST_SQL} SELECT institution_id, parent_dept, child_dept, round(direction_score, 6) + 0.0e0 AS direction_score FROM forest")
 def parent_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest(spark, sf_dir, covered(spark, sf_dir)).withColumn("direction_score", F.round("direction_score", 6))
+    return forest(spark, sf_dir, covered(spark, sf_dir)).withColumn("direction_score", F.round("direction_score", 6) + F.lit(0.0))
 
 
 TREE_SQL = f"""{FOREST_SQL},
