@@ -33,6 +33,12 @@ def test_clean_department(spark, raw, clean):
     assert one(spark, raw, T.clean_department) == clean
 
 
+def test_long_runs_of_stop_words(spark):
+    outer, inner = "of the and " * 40_000, " of the lab of the" * 20_000
+    assert one(spark, f"{outer}school{inner} {outer}", T.clean_department) == f"school{inner}".removesuffix(" of the")
+    assert one(spark, outer, T.clean_department) == "" and one(spark, "at office of", T.clean_department) == "office"
+
+
 def test_amp_can_stay(spark):
     assert one(spark, "Campus Lab", lambda c: T.clean_department(c, blank_amp=False)) == "campus lab"
 

@@ -42,15 +42,16 @@ def clean_affiliation(text: Column) -> Column:
 def clean_department(text: Column, blank_amp: bool = True) -> Column:
     """A department string in lower case without brackets' rest, punctuation and outer stop words; '' where no type word occurs.
 
-    blank_amp mirrors the removal of "amp" even inside words.
+    blank_amp mirrors the removal of "amp" even inside words. Outer stop words are taken from the front of the text and of
+    the reversed text: there a possessive loop needs neither the stack nor a second look, however long their run.
     """
-    stop = _one_of(vocab.STOP_WORDS)
+    outer = lambda words: f"^(?:(?:{_one_of(words)})(?: |$))++"
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?d)\(.*$", " ")
     out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", " ")
     if blank_amp:
         out = F.replace(out, F.lit("amp"), F.lit(" "))
-    out = F.regexp_replace(collapse(out), f"^(?:(?:{stop})(?: |$))+", "")
-    out = F.regexp_replace(out, f"(?:(?:^| )(?:{stop}))+$", "")
+    out = F.regexp_replace(collapse(out), outer(vocab.STOP_WORDS), "")
+    out = F.reverse(F.regexp_replace(F.reverse(out), outer(tuple(w[::-1] for w in vocab.STOP_WORDS)), ""))
     return _once(out, lambda x: F.when(x.rlike(_one_of(vocab.TYPE_WORDS)), F.trim(F.regexp_replace(x, r"(?U)^\d+[\s\x1c-\x1f]*", ""))).otherwise(F.lit("")))
 
 
