@@ -66,3 +66,20 @@ def test_spans_are_whole_turns(spark):
     got = equal_to_sql(spark, "span_topk")
     turns = {t.strip(" ") for t in spark.read.parquet(f"{SF}/conversations.parquet").toPandas()["text"].dropna()}
     assert len(got) and set(got["word"]) <= turns and got["word"].str.len().max() > 20
+
+
+def test_all_pairs_of_odd_vectors(spark, tmp_path):
+    from unitweave.operators import canonical
+
+    some = [[0.0, 0.0, 0.0], None, [float("nan"), 1.0, 0.0], [float("inf"), 1.0, 0.0], [3e38, 3e38, 1.0], [1e-45, 0.0, 0.0], [1.0, -1.0, 0.0]]
+    some += [[float(i % 7 - 3), float(i % 5), float(i % 3 - 1)] for i in range(60)]
+    data = [(k, i, label, v) for label in (1, 2, None) for k, (i, v) in enumerate([(i // 2 if i > 40 else i, v) for i, v in enumerate(some)])]
+    frame = spark.createDataFrame([(None if k == 9 else i, label, v) for k, i, label, v in data], "vec_id long, label int, embedding array<float>")
+    frame.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(plans.SQL["cosine_pairs"]).fetchall()
+    for block in (7, 2048):
+        got = canonical.cosine_pairs(plans.vectors(spark, str(tmp_path)), block) if block == 7 else plans.QUERIES["cosine_pairs"](spark, str(tmp_path))
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+    assert canonical.cosine_pairs(plans.vectors(spark, str(tmp_path)).limit(0)).count() == 0

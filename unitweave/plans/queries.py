@@ -358,9 +358,7 @@ VECTORS_SQL = "v AS (SELECT label::BIGINT AS institution_id, lpad(vec_id::VARCHA
 
 @query(f"WITH {VECTORS_SQL} SELECT institution_id, dept_a, dept_b, round(s, 6) AS similarity, round(1 - s, 6) AS distance FROM p")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = vectors(spark, sf_dir).toDF("institution_id", "dept_a", "ea")
-    s = a.join(a.toDF("institution_id", "dept_b", "eb"), "institution_id").where("dept_a < dept_b").withColumn("s", N.cosine(F.col("ea"), F.col("eb")))
-    return s.select("institution_id", "dept_a", "dept_b", F.round("s", 6).alias("similarity"), F.round(N.cosine_distance(F.col("s")), 6).alias("distance"))
+    return canonical.cosine_pairs(vectors(spark, sf_dir))
 
 
 @query(f"WITH {VECTORS_SQL} SELECT institution_id, dept_a, dept_b, round(s, 4) AS similarity FROM p WHERE ca <> cb AND s >= 1.0 - 0.75 - 0.05 AND s < 1.0 - 0.75")
