@@ -119,6 +119,38 @@ def test_no_piece_spans_two_units(spark):
     assert spanning == []
 
 
+def test_parts_are_whole_units(spark):
+    """Cut by the pattern of units, the parts of a text give the units of the text, also where words, marks and spaces run on."""
+    texts = [
+        "", " ", "a", " a", "a  b", "a   b ", "B,, c. D,.\n\nE.", "x" * 70 + " y", "a\x01b, c", "▁a b", "tab\tx \n y\n", "don't. stop, e\u0301, 5, 6.", "a,\r\n b",
+        "." * 80 + ", z", "a." * 30 + " b", "https://x.y/z?q=1,2, ok", "y " + "z" * 33 + ", w", "\n", "ünï, cödé. 😀, ½.",
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = docs.select("text", sentencepiece_codec.units(F.col("text")).alias("units"), sentencepiece_codec.parts(F.col("text")).alias("parts"))
+    again = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit(sentencepiece_codec._UNITS), F.lit(0))))
+    for r in rows.select("*", again.alias("again")).collect():
+        assert r["units"] in (r["parts"], r["again"]) and all(len(p) <= sentencepiece_codec.UNIT + 1 for p in r["parts"]), r["text"]
+
+
+def test_texts_are_not_shuffled(spark, sf_docs):
+    """They are the bulk of the table: blocks are made where texts are read, and only parts and their ids are exchanged."""
+    out = sentencepiece_codec.encode(sf_docs, public_tokenizers.path("piece_bpe_32k.model"))
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanged = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert exchanged and not any(re.search(r"\b(text|rows)#", columns) for columns in exchanged)
+
+
+def test_common_and_rare_parts(spark, sf_docs, monkeypatch):
+    """Parts that all blocks get and those sent to single blocks give the same ids as without the one or the other."""
+    path, got, spreads = public_tokenizers.path("piece_bpe_32k.model"), [], []
+    of = sentencepiece_codec._spread
+    monkeypatch.setattr(sentencepiece_codec, "_spread", lambda told: spreads.append(of(told)) or spreads[-1])
+    for most in (0, 3000, 10**9):
+        monkeypatch.setattr(sentencepiece_codec, "COMMON", most)
+        got.append(sorted((r["doc_id"], r["ids"]) for r in sentencepiece_codec.encode(sf_docs, path, 1 << 16).collect()))
+    assert got[0] == got[1] == got[2] and spreads[0] > spreads[1] > spreads[2] == 1
+
+
 def test_viterbi(spark):
     pieces = {"a": 10, "b": 15, "ab": 20, "abc": 22, "c": 30, "bc": 14, "ca": 90}
     words = ["abc", "abcab", "ca", "", "axb", "x", None, "abc", "aaaa"]

@@ -5,9 +5,13 @@ units, so that the best path of a text is that of its units. The distinct units
 of bounded length, which an equi-join matches with the piece table; what matches are the edges of a unit's lattice, which
 are grouped by unit and folded by Viterbi's rule with a higher-order aggregate.
 
-Texts are shuffled once, into blocks. A block's units are made distinct inside it, look their ids up among the units of
-all blocks, and come back to the block as a hash table, an array of small maps, in which each occurrence finds its ids. So
-occurrences of words are neither shuffled nor sorted, and no table of all words meets in one task.
+Texts are cut at spaces, line ends and marks at the end of a word first, which is much faster than cutting units by their
+pattern. What this gives are parts: one unit or a few, which are as short as a lattice may be, or the units of a longer run.
+
+Texts are never shuffled: each task writes its own into blocks, the buckets of a table. A block's parts are made distinct
+inside it and look their ids up among the parts of all blocks. Those of many blocks, a bounded number, come back to all of
+them by broadcast, the others to the blocks that have them, as hash tables, arrays of small maps, in which each occurrence
+finds its ids. So occurrences of words are neither shuffled nor sorted, and no table of all words meets in one task.
 
 The model is a byte-pair model, whose scores are ranks of merges. They become costs by the law of Zipf and Mandelbrot,
 log(ZIPF + rank), so a path's cost stands for a probability; ids are those of the best path, which for about one word in
@@ -17,12 +21,13 @@ six is another than that which the library reaches by merging.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import pieces_for, text_bytes
+from unitweave.llm.common import cut, fresh_path, pieces_for
 
 SPACE = "▁"
 #: Longest run of one kind of character that makes a unit; longer runs are cut.
@@ -32,8 +37,12 @@ ZIPF = 1000
 UNKNOWN_COST = 50_000_000
 #: Text of a block, whose texts and units meet in one task; larger blocks share more units and need more memory.
 BLOCK_BYTES = 16 << 20
-#: Maps of a block's hash table, a power of two.
-MAPS = 1 << 15
+#: Maps of a block's hash table, and of that of all blocks, powers of two.
+MAPS, COMMON_MAPS = 1 << 15, 1 << 16
+#: Parts, at most, whose ids all blocks get; those in most blocks.
+COMMON = 400_000
+#: Where texts are cut into parts; a text that has it is cut by the pattern of units.
+CUT = "\x01"
 
 # An edge of a lattice is one long: its end, cost, size and id. A node of a path is the path's cost so far, then size and id
 # of its last edge, in the same places.
@@ -81,6 +90,21 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0))
 
 
+def parts(text: Column) -> Column:
+    """Units of a text, in order, with those of a word joined where they have at most UNIT characters; some parts are empty.
+
+    A space or a line end begins a unit, and a line end is one, unless spaces (or their marks) are three or more in a row.
+    """
+    marked = F.replace(text, F.lit(" "), F.lit(CUT + SPACE))
+    marked = F.concat(F.lit(SPACE), F.replace(marked, F.lit("\n"), F.lit(f"{CUT}\n{CUT}")), F.lit(CUT))
+    marked = F.regexp_replace(marked, rf"[.,](?={CUT})(?<=[\p{{L}}\p{{M}}].)", f"{CUT}$0")
+    long = lambda part: F.length(part) > UNIT
+    cut_long = lambda part: F.when(long(part), F.regexp_extract_all(part, F.lit(_UNITS), F.lit(0))).otherwise(F.array(part))
+    by_word = F.transform(F.array(F.split(marked, CUT)), lambda w: F.when(F.exists(w, long), F.flatten(F.transform(w, cut_long))).otherwise(w))[0]
+    odd = (text == "") | F.contains(text, F.lit(CUT)) | F.contains(text, F.lit(SPACE)) | F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" "))
+    return F.when(odd, units(text)).otherwise(by_word)
+
+
 def viterbi(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """unit, path (array of struct(end, id)) for the distinct rows of words (unit), by pieces (piece, id, cost) of at most longest characters.
 
@@ -93,22 +117,27 @@ def viterbi(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     if longest >= 1 << _SIZE_BITS:
         raise ValueError(f"pieces of {longest} characters are too long")
     own = words.columns
-    starts = words.where("unit is not null").select("*", F.explode_outer(F.sequence(F.lit(1), F.nullif(F.length("unit"), F.lit(0)))).alias("start"))
-    room = F.least(F.lit(longest), F.length("unit") - F.col("start") + 1)
-    spans = starts.select("*", F.explode_outer(F.sequence(F.lit(1), room)).alias("size"))
+    # One number for each end and size; a group's own number, not its unit, comes first in sorting.
+    numbered = words.where("unit is not null").distinct().select(F.monotonically_increasing_id().alias("group"), "*")
+    spans = numbered.select("*", F.explode_outer(F.sequence(F.lit(0), F.nullif(F.length("unit"), F.lit(0)) * longest - 1)).alias("span"))
+    spans = spans.select("group", *own, (F.floor(F.col("span") / longest) - F.col("span") % longest + 1).cast("int").alias("start"), (F.col("span") % longest + 1).alias("size")).where("start is null or start > 0")
     edges = spans.join(F.broadcast(pieces), F.substring("unit", F.col("start"), F.col("size")) == F.col("piece"), "left").where("id is not null or size = 1 or size is null")
     end, cost, place = (F.col("start") + F.col("size") - 1).cast("long"), F.coalesce("cost", F.lit(UNKNOWN_COST)).cast("long"), F.coalesce("id", F.lit(_UNKNOWN)).cast("long")
     edge = F.shiftleft(end, _END_AT) + F.shiftleft(cost, _COST_AT) + F.shiftleft(F.col("size").cast("long"), _ID_BITS) + place
-    lattice = edges.groupBy(own).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy("group", *own).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
-    def step(best: Column, e: Column) -> Column:
-        """best: for each place the node of the cheapest way there; edges come by end."""
+    def step(way: Column, e: Column) -> Column:
+        """way: for each place before the one at hand the node of the cheapest way there, and the cheapest node so far; edges come by end."""
+        best, node = way["best"], way["node"]
         end = F.shiftright(e, _END_AT).cast("int")
-        size = F.shiftright(e, _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
-        node = F.get(best, end - size).bitwiseAND(-1 << _COST_AT) + e.bitwiseAND((1 << _END_AT) - 1)
-        return F.when(F.size(best) == end, F.concat(best, F.array(node))).otherwise(F.concat(F.slice(best, F.lit(1), end), F.array(F.least(F.get(best, end), node))))
+        start = end - F.shiftright(e, _ID_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).cast("int")
+        before = F.when(start == F.size(best), node).otherwise(F.get(best, start))
+        to = before.bitwiseAND(-1 << _COST_AT) + e.bitwiseAND((1 << _END_AT) - 1)
+        same, after = F.struct(best.alias("best"), F.least(node, to).alias("node")), F.struct(F.concat(best, F.array(node)).alias("best"), to.alias("node"))
+        return F.when(F.size(best) == end, same).otherwise(after)
 
-    best = lattice.select(*own, F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+    first = F.struct(F.array().cast("array<bigint>").alias("best"), F.lit(0).cast("long").alias("node"))
+    best = lattice.select(*own, F.aggregate("edges", first, step, lambda way: F.concat(way["best"], F.array(way["node"]))).alias("best"))
 
     def back(walk: Column, node: Column) -> Column:
         """walk: the place whose node comes next, the place of this node, and the pieces after it."""
@@ -139,32 +168,89 @@ def encode(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES) ->
     Other columns are ignored; an empty table gives no rows.
     """
     spark, model = docs.sparkSession, load(model_path)
-    n = pieces_for(spark, text_bytes(docs), block_bytes)
-    block = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.lit(0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionById(n, block).withColumn("block", block)
-    # Which blocks have which unit, dealt by unit. A unit keeps its first block, so that both uses read both columns and this
+    texts, n = _blocks(docs, block_bytes)
+    # Which blocks have which part, dealt by part. A part keeps its first block, so that both uses read both columns and this
     # exchange is made once.
-    seen = rows.select("block", F.explode(units(F.col("text"))).alias("unit")).distinct().repartition(n, "unit")
+    seen = texts.select("block", F.explode(parts(F.col("text"))).alias("unit")).distinct().repartition(n, "unit")
     distinct = seen.groupBy("unit").agg(F.min("block").alias("first_block"))
     paths = viterbi(distinct, model.table(spark), model.longest)
     coded = paths.select(F.col("unit").alias("coded"), "first_block", _spelt(F.col("unit"), F.col("path"), model.byte_ids).alias("ids"))
-    told = seen.join(coded.hint("shuffle_hash"), (F.col("unit") == F.col("coded")) & (F.col("block") >= F.col("first_block")))
+    # The second condition only keeps first_block in use; as an equality it would be a key, and both sides be dealt again.
+    where = seen.groupBy("unit").agg(F.collect_list("block").alias("blocks"), F.min("block").alias("least"))
+    told = where.join(coded.hint("shuffle_hash"), (F.col("unit") == F.col("coded")) & (F.col("least") >= F.col("first_block")))
+    told = _cut_clean(told.select("unit", "ids", "blocks"))
+    spread = _spread(told)
+    rare = told.where(F.size("blocks") < spread).select(F.explode("blocks").alias("block"), "unit", "ids", _map_of(F.col("unit"), MAPS).alias("map"))
     # Every block gets every map, if only an empty one, so that a map's number is its place.
-    empty = spark.range(n * MAPS).select((F.col("id") / MAPS).cast("int").alias("block"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), (F.col("id") % MAPS).cast("int").alias("map"))
-    told = told.select("block", "unit", "ids", _map_of(F.col("unit")).alias("map")).union(empty).repartitionById(n, "block")
-    maps = told.groupBy("block", "map").agg(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("unit", "ids"))).alias("entries"))
-    tables = maps.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("map", "entries"))).alias("t"))
-    tables = tables.select("block", F.transform("t", lambda x: F.map_from_entries(x["entries"])).alias("table"))
-    texts = rows.groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("rows"))
-    ids_of = lambda text: F.flatten(F.transform(units(text), lambda u: F.element_at(F.get("table", _map_of(u)), u)))
+    keys = texts.select("block").distinct()
+    empty = keys.select("block", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), F.explode(F.sequence(F.lit(0), F.lit(MAPS - 1))).alias("map"))
+    tables = _tables(rare.union(empty).repartition(n, "block"), "block", "table")
+    many = told.where(F.size("blocks") >= spread).select(F.lit(0).alias("all"), "unit", "ids", _map_of(F.col("unit"), COMMON_MAPS).alias("map"))
+    none = spark.range(COMMON_MAPS).select(F.lit(0).alias("all"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), F.col("id").cast("int").alias("map"))
+    common = _tables(many.union(none), "all", "common").select("common")
+    rows = texts.groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("rows"))
+    find = lambda u: F.coalesce(F.element_at(F.get("common", _map_of(u, COMMON_MAPS)), u), F.element_at(F.get("table", _map_of(u, MAPS)), u))
+    ids_of = lambda text: F.flatten(F.transform(parts(text), find))
     coded_rows = F.transform("rows", lambda r: F.struct(r["doc_id"].alias("doc_id"), r["text"].alias("text"), ids_of(r["text"]).alias("ids")))
-    out = texts.join(tables.hint("shuffle_hash"), "block").select(F.inline(coded_rows))
+    out = rows.join(tables.hint("shuffle_hash"), "block").crossJoin(F.broadcast(common)).select(F.inline(coded_rows))
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (_text_of(F.col("ids"), model) == F.col("text")).alias("round_trip"))
 
 
-def _map_of(unit: Column) -> Column:
-    return F.xxhash64(unit).bitwiseAND(MAPS - 1).cast("int")
+def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """A table of block, doc_id, text in buckets by block, and the number of buckets. A task writes to as few as have the size of a block.
+
+    The values of block are such that each falls into a bucket of its own.
+    """
+    spark = docs.sparkSession
+    sizes = docs.select(F.octet_length(F.col("text").cast("string")).alias("n"), F.spark_partition_id().alias("part"))
+    size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("part"), F.lit(0)).alias("last")).first()
+    n = pieces_for(spark, size["n"], block_bytes)
+    share = -(-n // (size["last"] + 1))
+    n = max(n, share * min(n, size["last"] + 1))
+    drawn = spark.range(64 * n).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("bucket"))
+    of = [r["id"] for r in drawn.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()]
+    own = F.spark_partition_id() * share + F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)).cast("int"), F.lit(0))
+    block = F.element_at(F.split(F.lit(",".join(map(str, of))), ","), F.pmod(own, F.lit(len(of))) + 1).cast("int")
+    rows = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    name = f"texts_{uuid.uuid4().hex}"
+    rows.write.bucketBy(n, "block").option("compression", "zstd").option("path", fresh_path(spark, "texts")).format("parquet").saveAsTable(name)
+    texts = spark.table(name)
+    texts.schema
+    spark.sql(f"DROP TABLE {name}")  # the files stay, as the table only refers to them
+    return texts, n
+
+
+def _cut_clean(df: DataFrame) -> DataFrame:
+    """Write a frame and read it back; its exchanges leave the disk."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return cut(df, "sentencepiece")
+    finally:
+        conf.set(name, before)
+
+
+def _spread(told: DataFrame) -> int:
+    """The least number of blocks that at most COMMON parts have; one number for each number of blocks reaches the driver."""
+    left, least = COMMON, None
+    for r in told.groupBy(F.size("blocks").alias("k")).count().orderBy(F.desc("k")).collect():
+        left -= r["count"]
+        if left < 0:
+            return r["k"] + 1
+        least = r["k"]
+    return least or 1
+
+
+def _tables(told: DataFrame, by: str, name: str) -> DataFrame:
+    """by, name: a hash table of each group of told (by, unit, ids, map), whose null units only make maps."""
+    maps = told.groupBy(by, "map").agg(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("unit", "ids"))).alias("entries"))
+    tables = maps.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("map", "entries"))).alias("t"))
+    return tables.select(by, F.transform("t", lambda x: F.map_from_entries(x["entries"])).alias(name))
+
+
+def _map_of(unit: Column, maps: int) -> Column:
+    return F.xxhash64(unit).bitwiseAND(maps - 1).cast("int")
 
 
 def _text_of(ids: Column, model: Model) -> Column:
